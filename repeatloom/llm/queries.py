@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, strand_neutral
-from repeatloom.llm import frequent, seen
+from repeatloom.llm import frequent, runs, seen, spans
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,35 @@ def p1_frequent(spark: SparkSession, d: str) -> DataFrame:
     return frequent.misra_gries(_items(spark, d), 1000)
 
 
+# 2. Long exact spans shared between records
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fastq_reads").select(F.col("read_id").alias("rec_id"), bases(F.col("seq")).alias("text"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_records(spark, d)).withColumnRenamed("rec_id", "read_id")
+
+
+SQL["p2_found"] = f"""
+with r as (select read_id, {_bases("seq")} s from fastq_reads where length({_bases("seq")}) >= 48),
+w as (select read_id, i, s[i + 1 : i + 48] w from (select read_id, s, unnest(range(length(s) - 47)) i from r)),
+v as (select * from w where not regexp_matches(w, '[^ACGT]')),
+g as (select w from v group by w having count(distinct read_id) > 1),
+h as (select read_id, i, lag(i) over (partition by read_id order by i) p from v where w in (select w from g)),
+c as (select read_id, i, sum(case when i <= p + 48 then 0 else 1 end) over (partition by read_id order by i) k from h)
+select read_id, min(i)::int as span_start, (max(i) + 48)::int as span_end from c group by read_id, k
+"""
+
+
+@query
+def p2_extent(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each read is shared elsewhere."""
+    return spans.shared_extent(_records(spark, d)).withColumnRenamed("rec_id", "read_id")
+
+
 # 3. Has this key been seen before?
 
 
@@ -114,3 +143,34 @@ t as (select src, flag, rn > 1 or exists (select 1 from known_keys h where h.kin
 select src, 'flag' as answer_of, count(*) as n_rows, count(*) filter ((flag = 1) != truth) as n_wrong, count(*) filter ((flag = 1) != truth) / count(*) as wrong_rate from t where flag is not null group by src
 union all select src, 'ledger', count(*), 0, 0.0 from t group by src
 """
+
+
+# 4. Repeated consecutive events in sequences
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fastq_reads").select(F.col("file_idx").alias("entity"), "ord", "name", bases(F.col("seq")).alias("text"), F.col("sequenced_at").alias("at"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return runs.collapse_runs(_events(spark, d), min_run=2).select(F.col("entity").cast("int").alias("file_idx"), "first_ord", "last_ord")
+
+
+_P4 = f"""
+with r as (select file_idx, ord, name, sequenced_at, {_bases("seq")} s from fastq_reads),
+l as (select *, lag(s) over w p from r window w as (partition by file_idx order by ord)),
+j as (select *, case when s != '' and length(s) = length(p) and hamming(s, p) <= 2 then 0 else 1 end n from l),
+c as (select *, sum(n) over (partition by file_idx order by ord) k from j)
+"""
+SQL["p4_found"] = _P4 + "select file_idx, min(ord) as first_ord, max(ord) as last_ord from c group by file_idx, k having count(*) > 1"
+
+
+@query
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run as one read, with its number of reads and its time."""
+    return runs.collapse_runs(_events(spark, d)).select(F.col("entity").cast("int").alias("file_idx"), "first_ord", "last_ord", "name", "n_events", "seconds")
+
+
+SQL["p4_runs"] = _P4 + """select file_idx, min(ord) as first_ord, max(ord) as last_ord, any_value(name) filter (n = 1) as name, count(*) as n_events,
+(epoch_us(max(sequenced_at)) - epoch_us(min(sequenced_at))) / 1e6 as seconds from c group by file_idx, k"""
