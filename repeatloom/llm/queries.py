@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, strand_neutral
-from repeatloom.llm import frequent, runs, seen, spans
+from repeatloom.llm import frequent, runs, seen, spans, survivors
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,38 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["p4_runs"] = _P4 + """select file_idx, min(ord) as first_ord, max(ord) as last_ord, any_value(name) filter (n = 1) as name, count(*) as n_events,
 (epoch_us(max(sequenced_at)) - epoch_us(min(sequenced_at))) / 1e6 as seconds from c group by file_idx, k"""
+
+
+# 5. Best representative of each duplicate group
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = survivors.survivors(table(spark, d, "fastq_reads"), min_rows=2, consensus=False)
+    return found.select(
+        F.col("first_id").alias("first_read_id"), F.coalesce("seq_id", F.lit(-1)).alias("seq_read_id"), F.coalesce("qual_id", F.lit(-1)).alias("qual_read_id")
+    )
+
+
+SQL["p5_found"] = f"""
+with a as (select *, {_bases("seq")} s, regexp_replace(lower(trim(name, chr(32) || chr(9) || chr(13))), '^@', '') nm from fastq_reads where name is not null),
+b as (select *, split_part(nm, ' ', 1) h from a),
+c as (select *, case when regexp_matches(h, '/[12]$') then h[:-3] else h end t, case when regexp_matches(h, '/[12]$') then right(h, 1) else substr(nm, length(h) + 2, 1) end m,
+  length(regexp_replace(s, '[^ACGT]', '', 'g')) n,
+  case when s != '' and length(s) = length(qual) then list_sum(list_transform(string_split(qual, ''), lambda x: ord(x))) - length(qual) * qual_offset end v from b),
+g as (select *, min(read_id) over w f, count(*) over w k,
+  row_number() over (partition by t, m order by coalesce(n, 0) desc, loaded_at desc nulls last, read_id) rs,
+  row_number() over (partition by t, m order by v desc nulls last, loaded_at desc nulls last, read_id) rq from c window w as (partition by t, m))
+select any_value(f) as first_read_id, coalesce(max(read_id) filter (rs = 1 and n > 0), -1) as seq_read_id, coalesce(max(read_id) filter (rq = 1 and v is not null), -1) as qual_read_id
+from g where k > 1 group by t, m
+"""
+
+
+@query
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per template and mate: the bases and qualities that survive, and the voted consensus."""
+    reads = table(spark, d, "fastq_reads")
+    best = survivors.survivors(reads)
+    seqs = reads.select(F.col("read_id").alias("seq_id"), bases(F.col("seq")).alias("seq"))
+    quals = reads.select(F.col("read_id").alias("qual_id"), "qual")
+    return best.join(seqs, "seq_id", "left").join(quals, "qual_id", "left").select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")

@@ -109,4 +109,4 @@ def collapse_runs(events: DataFrame, penalty: float = 2.5, min_run: int = 1, blo
         .drop("chain")
     )
     out = segs.where(~edge).select(*chain.columns).unionByName(chain).where(F.col("n") >= min_run)
-    return out.select("entity", "first_ord", "last_ord", "name", F.col("n").alias("n_events"), (F.col("t1").cast("double") - F.col("t0").cast("double")).alias("seconds"))
+    return out.select("entity", "first_ord", "last_ord", "name", F.col("n").alias("n_events"), ((F.unix_micros("t1") - F.unix_micros("t0")) / 1e6).alias("seconds"))
