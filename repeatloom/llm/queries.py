@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, strand_neutral
-from repeatloom.llm import frequent, runs, seen, spans, survivors
+from repeatloom.llm import frequent, packing, runs, seen, spans, survivors, tokens
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,40 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     seqs = reads.select(F.col("read_id").alias("seq_id"), bases(F.col("seq")).alias("seq"))
     quals = reads.select(F.col("read_id").alias("qual_id"), "qual")
     return best.join(seqs, "seq_id", "left").join(quals, "qual_id", "left").select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")
+
+
+# 7. Encoding of the whole corpus
+
+
+@query
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+@query
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each text comes back from its ids; a null text comes back empty."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    back = tokens.decode(tokens.encode(documents)).withColumnRenamed("text", "decoded")
+    return documents.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+SQL["p7_roundtrip"] = "select doc_id, true as same from documents"
+
+
+# 8. Filling fixed-capacity containers
+
+
+@query
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every post (of every piece of those larger than the capacity), for each kind of container."""
+    sizes = tokens.count(table(spark, d, "documents")).select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size"))
+    return packing.pack_kinds(sizes, table(spark, d, "containers")).withColumnsRenamed({"item_id": "doc_id", "length": "n_tokens"})
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well each kind of container is used: containers, tokens, least possible number, share of unused space."""
+    placed = p8_packed(spark, d)
+    used = placed.groupBy("container_id", "capacity").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
+    return used.withColumns({"least": F.ceil(F.col("tokens") / F.col("capacity")), "unused": 1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity"))})
