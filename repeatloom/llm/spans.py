@@ -20,8 +20,8 @@ CHUNK_LETTERS = 1_500_000
 DEPTH, MAX_WIDTH = 2, 1 << 26
 #: Counters of a block: what one reducer merges.
 BLOCK = 1 << 19
-#: Windows that one reducer of the exact pass is meant to hold.
-PER_BUCKET = 1 << 20
+#: Windows of the input for each bucket of the exact pass; a bucket gets those that may repeat.
+PER_BUCKET = 1 << 21
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -125,6 +125,15 @@ def _stretches(rec: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rec[first], pos[first], pos[last]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Integers that are small as a rule, a byte plane at a time."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 _ENTRY = "bucket int, sure boolean, rec_id binary, pos binary, hi binary, lo binary"
 
 
@@ -135,7 +144,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
     def row(bucket: int, sure: bool, ids: np.ndarray, pos: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(
             {"bucket": pa.array([bucket], pa.int32()), "sure": pa.array([sure])}
-            | {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("rec_id", ids), ("pos", pos.astype(np.int32)), ("hi", hi), ("lo", lo))}
+            | {"rec_id": pa.array([_packed(np.diff(ids, prepend=0))], pa.binary()), "pos": pa.array([_packed(pos)], pa.binary())}
+            | {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("hi", hi), ("lo", lo))}
         )
 
     none = np.zeros(0, np.uint64)
@@ -174,7 +184,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
                 yield row(int(bucket[part[0]]), mark, c.ids[rec[x]] if not mark else none, pos[x] if not mark else none, hi[x], lo[x])
 
 
-_FOUND = "rec_id long, first int, last int"
+_FOUND = "rec_id long, stretch long"
 
 
 def _exact(key: tuple, t: pa.Table) -> pa.Table:
@@ -183,15 +193,16 @@ def _exact(key: tuple, t: pa.Table) -> pa.Table:
     ids, pos, hi, lo, sure = [], [], [], [], []
     for x in t.to_pylist():
         h = np.frombuffer(x["hi"], np.uint64)
-        if x["sure"] and x["rec_id"]:
-            out.append((np.frombuffer(x["rec_id"], np.int64), np.frombuffer(x["pos"], np.int32), h.astype(np.int32)))
+        rec, at = np.cumsum(_unpacked(x["rec_id"])), _unpacked(x["pos"])
+        if x["sure"] and len(rec):
+            out.append((rec, at, h.astype(np.int64)))
             continue
         n = len(h)
         hi.append(h)
         lo.append(np.frombuffer(x["lo"], np.uint32))
         sure.append(np.full(n, x["sure"]))
-        ids.append(np.frombuffer(x["rec_id"], np.int64) if not x["sure"] else np.full(n, -1))
-        pos.append(np.frombuffer(x["pos"], np.int32) if not x["sure"] else np.zeros(n, np.int32))
+        ids.append(rec if not x["sure"] else np.full(n, -1))
+        pos.append(at if not x["sure"] else np.zeros(n, np.int64))
     if hi:
         i, p, h, w, s = map(np.concatenate, (ids, pos, hi, lo, sure))
         order = np.lexsort((i, w, h))
@@ -206,7 +217,7 @@ def _exact(key: tuple, t: pa.Table) -> pa.Table:
         order = np.lexsort((p, i))
         out.append(_stretches(i[order], p[order]))
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table({"rec_id": pa.array(cols[0].astype(np.int64)), "first": pa.array(cols[1].astype(np.int32)), "last": pa.array(cols[2].astype(np.int32))})
+    return pa.table({"rec_id": pa.array(cols[0].astype(np.int64)), "stretch": pa.array(cols[1].astype(np.int64) << 32 | cols[2].astype(np.int64))})
 
 
 def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
@@ -236,10 +247,12 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
         row, k = divmod(x["block"], width // step)
         twice[row][k * step // 8 : (k + 1) * step // 8] = np.frombuffer(zlib.decompress(x["planes"]), np.uint8)
     sent = spark.sparkContext.broadcast(twice)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // (4 * PER_BUCKET)))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // PER_BUCKET))
     entries = rows.mapInArrow(lambda it: _candidates(it, sent.value, width, buckets), _ENTRY)
     found = entries.groupBy("bucket").applyInArrow(_exact, _FOUND)
-    spans = found.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("w"))  # as many as the record has windows, at most
+    stretches = F.sort_array(F.collect_list("stretch"))  # as many as the record has windows, at most
+    unpack = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("last"))
+    spans = found.groupBy("rec_id").agg(F.transform(stretches, unpack).alias("w"))
     joined = F.aggregate(
         "w",
         F.array().cast("array<struct<span_start:int,span_end:int>>"),
