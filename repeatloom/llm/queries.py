@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, strand_neutral
-from repeatloom.llm import frequent, packing, runs, seen, spans, survivors, tokens
+from repeatloom.llm import frequent, packing, residue, runs, seen, spans, survivors, tokens
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     placed = p8_packed(spark, d)
     used = placed.groupBy("container_id", "capacity").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
     return used.withColumns({"least": F.ceil(F.col("tokens") / F.col("capacity")), "unused": 1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity"))})
+
+
+# 9. Template residue and error-page text
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The rest of the corpus."""
+    documents = table(spark, d, "documents")
+    return documents.join(residue.residue(documents).select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
