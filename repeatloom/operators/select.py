@@ -14,25 +14,26 @@ MATCH = "struct<len:int,copies:int,str:string,motif:string,start:int,end:int>"
 MOTIF_LENGTHS = (2, 3, 4, 5, 6)
 
 
+def _of_length(s: Column, k: int, num_copies: int, flank: int) -> Column:
+    """Matches with motifs of k letters; a run is only looked for where the least one is there."""
+    least = k * num_copies
+    last = F.length(s) - flank - least
+    places = F.when(last >= flank, F.sequence(F.lit(flank), last)).otherwise(F.array().cast("array<int>"))
+    motif = lambda p: F.substr(s, p + 1, F.lit(k))
+
+    def match(p: Column) -> Column:
+        run = F.regexp_extract(F.substr(s, p + 1, F.length(s) - p), rf"^(.{{{k}}})\1*", 0)
+        n = F.length(run)
+        return F.struct(n.alias("len"), (n / k).cast("int").alias("copies"), run.alias("str"), motif(p).alias("motif"), p.alias("start"), (p + n).alias("end"))
+
+    return F.transform(F.filter(places, lambda p: F.substr(s, p + 1, F.lit(least)) == F.repeat(motif(p), F.lit(num_copies))), match)
+
+
 def candidates(s: Column, num_copies: int = 2, motif_lengths: Sequence[int] = MOTIF_LENGTHS, flank: int = 0) -> Column:
     """All repeats of a text as an array of matches: at every place and for every motif length the longest
     run of at least num_copies copies, if flank letters are left on both sides of it. Motifs with N are
     left out. Stays in the JVM; the array is empty for texts without any, null for null."""
-    parts = []
-    for k in sorted(set(motif_lengths)):
-        least = k * num_copies
-        last = F.length(s) - flank - least
-        places = F.when(last >= flank, F.sequence(F.lit(flank), last)).otherwise(F.array().cast("array<int>"))
-        motif = lambda p, k=k: F.substr(s, p + 1, F.lit(k))
-        starts = F.filter(places, lambda p, k=k, least=least, motif=motif: F.substr(s, p + 1, F.lit(least)) == F.repeat(motif(p), F.lit(num_copies)))
-
-        def match(p: Column, k: int = k, motif=motif) -> Column:
-            run = F.regexp_extract(F.substr(s, p + 1, F.length(s) - p), rf"^(.{{{k}}})\1*", 0)
-            return F.struct(
-                F.length(run).alias("len"), (F.length(run) / k).cast("int").alias("copies"), run.alias("str"), motif(p).alias("motif"), p.alias("start"), (p + F.length(run)).alias("end")
-            )
-
-        parts.append(F.transform(starts, match))
+    parts = [_of_length(s, k, num_copies, flank) for k in sorted(set(motif_lengths))]
     found = F.concat(*parts)
     return F.filter(found, lambda m: (m["end"] <= F.length(s) - flank) & ~m["motif"].contains("N"))
 
