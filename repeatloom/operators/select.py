@@ -62,8 +62,8 @@ def best_match(
         found = F.filter(found, lambda m: ~is_homopolymer(m["motif"]))
     best = F.array_max(found)
     if rank_before_filter:
-        ok = F.lit(True) if not remove_homopolymers else ~is_homopolymer(best["motif"])
-        best = F.when((best["start"] >= flank) & (F.length(s) - best["end"] >= flank) & ok, best)
+        fits = lambda m: (m["start"] >= flank) & (F.length(s) - m["end"] >= flank) & (~is_homopolymer(m["motif"]) if remove_homopolymers else F.lit(True))
+        best = F.get(F.filter(F.array(best), lambda m: F.coalesce(fits(m), F.lit(False))), F.lit(0))
     return F.when(_may_repeat(s, num_copies, motif_lengths, inner), best)
 
 
