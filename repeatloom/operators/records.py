@@ -68,7 +68,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
 def failed(raw: DataFrame) -> DataFrame:
     """rec_id and the first reason of each row that does not parse."""
-    return parse_records(raw).where(F.size("errors") > 0).select("rec_id", F.col("errors")[0].alias("reason"))
+    # The generator drops valid rows without computing the rules a second time for a filter.
+    return parse_records(raw).select("rec_id", F.explode(F.slice("errors", 1, 1)).alias("reason"))
 
 
 def valid(raw: DataFrame) -> DataFrame:
