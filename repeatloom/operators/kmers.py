@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import canonical, revcomp, solid_letters
+from repeatloom.operators.letters import counted_kmers, spelled_kmers
+from repeatloom.shared import spread
 
 #: Counters stop here.
 MAX_COUNT = 255
@@ -37,8 +39,14 @@ def count_kmers(reads: DataFrame, k: int, blocks: DataFrame | None = None) -> Da
     """kmer and cnt over reads, and over the blocks' sequences too where given; cnt stops at MAX_COUNT.
     Partial sums are made before the shuffle, so frequent k-mers do not make hot partitions."""
     texts = reads.select("seq") if blocks is None else reads.select("seq").unionByName(blocks.select("seq"))
-    counts = explode_kmers(texts, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.select("kmer", F.least("cnt", F.lit(MAX_COUNT).cast("long")).alias("cnt"))
+    k = odd(k)
+    if k > 31:
+        counts = explode_kmers(texts, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+        return counts.select("kmer", F.least("cnt", F.lit(MAX_COUNT).cast("long")).alias("cnt"))
+    # As numbers of two bits a letter: an eighth of the bytes in the shuffle, and counted by batches before it.
+    parts = spread(texts.where(F.length("seq") >= k)).mapInArrow(lambda it: counted_kmers(it, k), "code long, n long")
+    counts = parts.groupBy("code").agg(F.least(F.sum("n"), F.lit(MAX_COUNT).cast("long")).alias("cnt"))
+    return counts.mapInArrow(lambda it: spelled_kmers(it, k), "kmer string, cnt long")
 
 
 def solid(counts: DataFrame, min_count: int = 2, max_count: int = MAX_COUNT) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, phred_shift, revcomp
 from repeatloom.operators import checklist, extend, kmers, merge, records, select, trf
-from repeatloom.shared import written
+from repeatloom.shared import spread, written
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +108,7 @@ SQL["phred_shifted"] = f"{_READS} select read_id, case when qual_offset = 64 the
 @query
 def str_candidates(spark: SparkSession, d: str) -> DataFrame:
     found = select.candidates(F.col("seq"), COPIES)
-    return reads(spark, d).where(F.col("seq").rlike("(..)\\1\\1|(...)\\2\\2|(....)\\3\\3|(.....)\\4\\4|(......)\\5\\5")).select("read_id", F.inline(found))
+    return spread(reads(spark, d)).where(F.col("seq").rlike("(..)\\1\\1|(...)\\2\\2|(....)\\3\\3|(.....)\\4\\4|(......)\\5\\5")).select("read_id", F.inline(found))
 
 
 SQL["str_candidates"] = f"""{_READS},{_candidate_ctes("s", "a")}
@@ -117,7 +117,7 @@ select read_id, len::int as len, copies::int as copies, str, motif, start::int a
 
 @query
 def str_best_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(select._kept(reads(spark, d), "fwd", select.best_match(F.col("seq"), COPIES, FLANK)), "fwd")
+    return _flat(select.with_best_matches(reads(spark, d), ("fwd",), COPIES, FLANK), "fwd")
 
 
 SQL["str_best_forward"] = f"""{_READS},{_candidate_ctes("s", "a")},{_best_cte("a", _FLANKED)}
@@ -126,7 +126,7 @@ select read_id, len::int as len, copies::int as copies, str, motif, start::int a
 
 @query
 def str_best_reverse(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(select._kept(reads(spark, d), "rc", select.best_match(revcomp(F.col("seq")), COPIES, FLANK)), "rc")
+    return _flat(select.with_best_matches(reads(spark, d), ("rc",), COPIES, FLANK), "rc")
 
 
 SQL["str_best_reverse"] = f"""{_READS},{_candidate_ctes(_rc("s"), "a")},{_best_cte("a", _FLANKED)}

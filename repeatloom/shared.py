@@ -28,3 +28,11 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a small file is one task otherwise. Larger inputs stay as they are read."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -46,6 +46,9 @@ def test_select_equals_brute_force(spark, n, flank, lengths, options):
     args = (n, lengths, flank, not options.get("remove_homopolymers"), bool(options.get("rank_before_filter")))
     want = {i: (a, b) for i, s in enumerate(seqs) if s and (a := brute(s, *args)) and (b := brute(rc(s), *args))}
     assert got == want and want
+    expression = spark.createDataFrame(rows, READS).select("ord", select.best_match(F.col("seq"), n, flank, lengths, **options).alias("b")).where("b is not null")
+    one = {r["ord"]: tuple(r["b"]) for r in expression.collect()}
+    assert one == {i: tuple(r["fwd"]) for r in select.with_best_matches(spark.createDataFrame(rows, READS), ("fwd",), n, flank, lengths, **options).collect() for i in [r["ord"]]}
 
 
 def test_ties(spark):
