@@ -23,6 +23,9 @@ BLOCK = 1 << 19
 #: Windows of the input for each bucket of the exact pass; a bucket gets those that may repeat.
 PER_BUCKET = 1 << 21
 
+#: Times the usual number of windows from which on a bucket is spread.
+HOT_LOAD = 4
+
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
@@ -35,30 +38,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _words(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the first 32 and of the last 16 letters of the window at each place, and of 16 letters from each place."""
+    words, width = code.astype(np.uint64), 1
+    while width < FIRST:
+        if width == WINDOW - FIRST:
+            half = words
+        words = (words[:-width] << np.uint64(2 * width)) | words[width:]
+        width *= 2
+    n = len(code) - WINDOW + 1
+    return words[:n], half[FIRST : FIRST + n], half
+
+
 class _Chunk:
     """All windows of some records. hi and lo: codes of the first 32 and the last 16 letters,
-    two bits each, so equal pairs are equal windows; rec and pos: record and place in it."""
+    two bits each, so equal pairs are equal windows; rec and pos: record and place in it; part: a number
+    made of the least of the window's 16-letter parts, which neighbouring windows mostly share."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array):
         texts = texts.cast(pa.large_binary())
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         code = _CODE[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-        ends = ends - ends[0]
-        n = max(0, len(code) - WINDOW + 1)
+        self.code, self.ids, self.starts = code, ids, ends - ends[0]
+        n = len(code) - WINDOW + 1
+        if n < 1:
+            self.hi = self.lo = self.part = self.hash = np.zeros(0, np.uint64)
+            self.rec = self.pos = np.zeros(0, np.int64)
+            return
         bad = np.zeros(len(code) + 1, np.int32)
         np.cumsum(code == 4, out=bad[1:])
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends))
-        good = np.flatnonzero((bad[WINDOW:] == bad[:n]) & (owner[WINDOW - 1 :] == owner[:n])) if n else np.zeros(0, np.int64)
-        words, width = code.astype(np.uint64), 1
+        good = np.flatnonzero((bad[WINDOW:] == bad[:n]) & (owner[WINDOW - 1 :] == owner[:n]))
+        hi, lo, half = _words(code)
+        least, width = _mix(half), 1
         while width < FIRST:
-            if width == WINDOW - FIRST:
-                half = words
-            words = (words[:-width] << np.uint64(2 * width)) | words[width:] if len(words) > width else words[:0]
+            least = np.minimum(least[:-width], least[width:])
             width *= 2
-        self.hi = words[good] if len(good) else np.zeros(0, np.uint64)
-        self.lo = half[good + FIRST] if len(good) else np.zeros(0, np.uint64)
-        self.rec, self.ids, self.starts = owner[good] if n else np.zeros(0, np.int32), ids, ends
-        self.pos = good - ends[self.rec]
+        self.part = _mix(np.minimum(least[:-1], least[1:])[good])
+        self.hi, self.lo, self.rec = hi[good], lo[good], owner[good]
+        self.pos = good - self.starts[self.rec]
         self.hash = _mix(self.hi ^ _mix(self.lo + np.uint64(0xD6E8FEB86659FD93)))
 
     def cells(self, row: int, width: int) -> np.ndarray:
@@ -86,10 +104,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
         yield chunk()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of each block of counters with any count: two bit planes, at least one and at least two."""
-    count = np.zeros((DEPTH, width), np.uint8)
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of each block of counters with any count: two bit planes, at least one and at least two. As block -1 the
+    number of windows by bucket."""
+    count, load = np.zeros((DEPTH, width), np.uint8), np.zeros(buckets, np.int64)
     for c in _chunks(batches):
+        load += np.bincount((c.part % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         for row in range(DEPTH):
             cells = np.sort(c.cells(row, width))
             first = np.ones(len(cells), bool)
@@ -98,6 +118,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             own[cells[~first]] = 2
             once = cells[first]
             own[once] = np.minimum(own[once] + 1, 2)
+    yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "planes": pa.array([zlib.compress(load.tobytes(), 1)], pa.binary())})
     step = min(BLOCK, width)
     for row in range(DEPTH):
         for k in range(width // step):
@@ -109,6 +130,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def _merge_blocks(key: tuple, t: pa.Table) -> pa.Table:
     one = two = None
+    if key[0].as_py() < 0:
+        two = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t["planes"])
+        return pa.table({"block": pa.array([-1], pa.int32()), "planes": pa.array([zlib.compress(two.tobytes(), 1)], pa.binary())})
     for x in t["planes"]:
         planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
         a, b = planes[: len(planes) // 2], planes[len(planes) // 2 :]
@@ -134,21 +158,29 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-_ENTRY = "bucket int, sure boolean, rec_id binary, pos binary, hi binary, lo binary"
+def _gather(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places from each first one on, n of them."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows that the sketch says occur twice. Of those in one chunk with the same letters one is
-    sent on, marked sure if they lie in different records; the others' answer is known here."""
+#: kind 0: stretches of candidate windows; 1: of windows known to be shared, for others to meet; 2: answers.
+_ENTRY = "bucket int, kind int, rec_id binary, pos binary, n binary, letters binary"
+
 
-    def row(bucket: int, sure: bool, ids: np.ndarray, pos: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"bucket": pa.array([bucket], pa.int32()), "sure": pa.array([sure])}
-            | {"rec_id": pa.array([_packed(np.diff(ids, prepend=0))], pa.binary()), "pos": pa.array([_packed(pos)], pa.binary())}
-            | {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("hi", hi), ("lo", lo))}
-        )
+def _entry(bucket: int, kind: int, ids: np.ndarray, pos: np.ndarray, n: np.ndarray, letters: np.ndarray | None = None) -> pa.RecordBatch:
+    packed = b""
+    if letters is not None:
+        four = np.concatenate([letters, np.zeros(-len(letters) % 4, np.uint8)]).reshape(-1, 4)
+        packed = (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes()
+    binary = {"rec_id": _packed(np.diff(ids, prepend=0)), "pos": _packed(pos), "n": _packed(n), "letters": packed}
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in binary.items()})
 
-    none = np.zeros(0, np.uint64)
+
+def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], width: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows that the sketch says occur twice. Of those in one chunk with the same letters one is
+    sent on, as shared if they lie in different records; the others' answer is known here. Windows next to
+    each other that go to one bucket are sent as one stretch of letters."""
+    buckets = len(hot)
     for c in _chunks(batches):
         maybe = np.ones(len(c.hi), bool)
         for r in range(DEPTH):
@@ -157,7 +189,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
         at = np.flatnonzero(maybe)
         if not len(at):
             continue
-        hi, lo, rec, pos = c.hi[at], c.lo[at].astype(np.uint32), c.rec[at], c.pos[at]
+        hi, lo, rec, pos = c.hi[at], c.lo[at], c.rec[at], c.pos[at]
         order = np.lexsort((rec, lo, hi))
         h, w, r = hi[order], lo[order], rec[order]
         new = np.ones(len(order), bool)
@@ -165,23 +197,29 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(order)) - 1
         sure = r[start] != r[end]  # records are sorted within a window
+        own = (c.part[at] % np.uint64(buckets)).astype(np.int64)
+        # A bucket with far too many windows is spread by the windows' own hash.
+        bucket = np.where(hot[own], buckets + ((c.hash[at] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), own)
         known = np.sort(order[np.repeat(sure, end - start + 1)])
         if len(known):
             recs, a, b = _stretches(rec[known], pos[known])
-            yield row(int(c.ids[0] % buckets), True, c.ids[recs], a, b.astype(np.uint64), none)
-        # A window again and again within one record: all its places have to be answered.
-        if (~sure & (end > start)).any():
-            lone = np.flatnonzero(np.repeat(~sure, end - start + 1))
-        else:
-            lone = start[~sure]
-        for mark, take in ((False, lone), (True, start[sure])):
-            take = np.sort(order[take])
-            bucket = (c.hash[at][take] >> np.uint64(40)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[by])) + 1
-            for part in np.split(by, cut) if len(by) else []:
-                x = take[part]
-                yield row(int(bucket[part[0]]), mark, c.ids[rec[x]] if not mark else none, pos[x] if not mark else none, hi[x], lo[x])
+            yield _entry(int(c.ids[0] % buckets), 2, c.ids[recs], a, b - a + 1)
+        # Of a window again and again within one record all places have to be answered.
+        lone = order[np.repeat(~sure, end - start + 1)]
+        for kind, take in ((0, lone), (1, order[start[sure]])):
+            take = np.sort(take)
+            if not len(take):
+                continue
+            recs, places, to = rec[take], pos[take], bucket[take]
+            cut = np.ones(len(take), bool)
+            cut[1:] = (recs[1:] != recs[:-1]) | (places[1:] != places[:-1] + 1) | (to[1:] != to[:-1])
+            first = np.flatnonzero(cut)
+            n = np.diff(np.append(first, len(take)))
+            by = np.argsort(to[first], kind="stable")
+            for x in np.split(by, np.flatnonzero(np.diff(to[first][by])) + 1):
+                f = first[x]
+                letters = c.code[_gather(c.starts[recs[f]] + places[f], n[x] + WINDOW - 1)]
+                yield _entry(int(to[f[0]]), kind, c.ids[recs[f]], places[f], n[x], letters)
 
 
 _FOUND = "rec_id long, stretch long"
@@ -192,17 +230,18 @@ def _exact(key: tuple, t: pa.Table) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     ids, pos, hi, lo, sure = [], [], [], [], []
     for x in t.to_pylist():
-        h = np.frombuffer(x["hi"], np.uint64)
-        rec, at = np.cumsum(_unpacked(x["rec_id"])), _unpacked(x["pos"])
-        if x["sure"] and len(rec):
-            out.append((rec, at, h.astype(np.int64)))
+        rec, at, n = np.cumsum(_unpacked(x["rec_id"])), _unpacked(x["pos"]), _unpacked(x["n"])
+        if x["kind"] == 2:
+            out.append((rec, at, at + n - 1))
             continue
-        n = len(h)
-        hi.append(h)
-        lo.append(np.frombuffer(x["lo"], np.uint32))
-        sure.append(np.full(n, x["sure"]))
-        ids.append(rec if not x["sure"] else np.full(n, -1))
-        pos.append(at if not x["sure"] else np.zeros(n, np.int64))
+        four = np.frombuffer(x["letters"], np.uint8)
+        h, w, _ = _words(np.stack([four >> 6, four >> 4 & 3, four >> 2 & 3, four & 3], axis=1).ravel())
+        places = _gather(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n)
+        hi.append(h[places])
+        lo.append(w[places])
+        sure.append(np.full(len(places), x["kind"] == 1))
+        ids.append(np.repeat(rec, n) if x["kind"] == 0 else np.full(len(places), -1))
+        pos.append(_gather(at, n))
     if hi:
         i, p, h, w, s = map(np.concatenate, (ids, pos, hi, lo, sure))
         order = np.lexsort((i, w, h))
@@ -231,7 +270,9 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     by block; as wide as there are windows, up to max_width counters a row, so what is broadcast
     has at most DEPTH * max_width bits (16 MB). Beyond that width the sketch lets more windows
     pass, none is lost. Second pass: windows counted twice or more are grouped exactly by their
-    letters in hash buckets. A window that many records hold is sent once by each chunk of
+    letters in buckets. Neighbouring windows mostly go to the same one, so they are sent as a stretch of
+    letters, two bits each; a bucket with more than HOT_LOAD times its share of windows is spread over as
+    many more by the hash of whole windows. A window that many records hold is sent once by each chunk of
     records, so no bucket grows with it.
     """
     spark = records.sparkSession
@@ -240,15 +281,18 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     width = 1 << 12
     while width < min(2 * windows, max_width):
         width *= 2
-    merged = rows.mapInArrow(lambda it: _sketch(it, width), "block int, planes binary").groupBy("block").applyInArrow(_merge_blocks, "block int, planes binary")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // PER_BUCKET))
+    merged = rows.mapInArrow(lambda it: _sketch(it, width, buckets), "block int, planes binary").groupBy("block").applyInArrow(_merge_blocks, "block int, planes binary")
     step = min(BLOCK, width)
-    twice = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)]
-    for x in merged.toLocalIterator():  # at most DEPTH * width bits in all
+    twice, load = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)], np.zeros(buckets, np.int64)
+    for x in merged.toLocalIterator():  # at most DEPTH * width bits in all, and a number for each bucket
+        if x["block"] < 0:
+            load = np.frombuffer(zlib.decompress(x["planes"]), np.int64)
+            continue
         row, k = divmod(x["block"], width // step)
         twice[row][k * step // 8 : (k + 1) * step // 8] = np.frombuffer(zlib.decompress(x["planes"]), np.uint8)
-    sent = spark.sparkContext.broadcast(twice)
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // PER_BUCKET))
-    entries = rows.mapInArrow(lambda it: _candidates(it, sent.value, width, buckets), _ENTRY)
+    sent = spark.sparkContext.broadcast((twice, load > HOT_LOAD * max(1, windows) / buckets))
+    entries = rows.mapInArrow(lambda it: _candidates(it, sent.value[0], width, sent.value[1]), _ENTRY)
     found = entries.groupBy("bucket").applyInArrow(_exact, _FOUND)
     stretches = F.sort_array(F.collect_list("stretch"))  # as many as the record has windows, at most
     unpack = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("last"))

@@ -90,9 +90,10 @@ def hard_records():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("letters", "width"), [(1_500_000, 1 << 12), (200, 1 << 12), (200, 64)])
-def test_shared_spans_equal_brute_force(spark, monkeypatch, letters, width):
+@pytest.mark.parametrize(("letters", "width", "hot"), [(1_500_000, 1 << 12, 4), (200, 1 << 12, 4), (200, 64, 0.01)])
+def test_shared_spans_equal_brute_force(spark, monkeypatch, letters, width, hot):
     monkeypatch.setattr(spans, "CHUNK_LETTERS", letters)
+    monkeypatch.setattr(spans, "HOT_LOAD", hot)
     rows = hard_records()
     got = {tuple(x) for x in spans.shared_spans(records(spark, rows), max_width=width).collect()}
     assert got == brute_spans(rows)
