@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, phred_shift, revcomp
-from repeatloom.operators import checklist, extend, kmers, merge, records, select, trf
+from repeatloom.operators import checklist, derive, extend, kmers, merge, records, select, trf
 from repeatloom.shared import spread, written
 from repeatloom.sources.tables import table
 
@@ -75,6 +75,22 @@ select a.read_id, {a}, {b} from a join b using (read_id) {after}"""
 # Reads and their text forms
 
 
+@query
+def derived_reads(spark: SparkSession, d: str) -> DataFrame:
+    return derive.reads_of_texts(table(spark, d, "documents"))
+
+
+SQL["derived_reads"] = """with z as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') z from documents where text is not null)
+select doc_id, i // 50 as ord, z[i + 1 : i + 100] as seq from (select doc_id, z, unnest(range(0, length(z) - 99, 50)) i from z)"""
+
+
+@query
+def derived_str_best(spark: SparkSession, d: str) -> DataFrame:
+    """Best forward repeat of each read that is derived from a post."""
+    found = select.with_best_matches(derive.reads_of_texts(table(spark, d, "documents")), ("fwd",), COPIES, FLANK)
+    return found.select("doc_id", "ord", F.col("fwd.motif").alias("motif"), F.col("fwd.copies").alias("copies"), F.col("fwd.start").alias("start"))
+
+
 @query
 def fastq_records(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("file_idx", "ord", "name", "seq", "qual")
@@ -83,6 +99,11 @@ def fastq_records(spark: SparkSession, d: str) -> DataFrame:
 SQL["fastq_records"] = _READS + " select file_idx, ord, name, s as seq, qual from rd"
 
 
+_DERIVED = SQL["derived_reads"]
+SQL["derived_str_best"] = f"""with d as ({_DERIVED}), rd as (select row_number() over () read_id, doc_id, ord, seq s from d),{_candidate_ctes("s", "a")},{_best_cte("a", _FLANKED)}
+select doc_id, ord, motif, copies::int as copies, start::int as start from a join rd using (read_id)"""
+
+
 @query
 def revcomp_reads(spark: SparkSession, d: str) -> DataFrame:
     return reads(spark, d).select("read_id", revcomp(F.col("seq")).alias("seq"), F.reverse("qual").alias("qual"))
@@ -92,14 +113,14 @@ SQL["revcomp_reads"] = f"{_READS} select read_id, {_rc('s')} as seq, reverse(qua
 
 
 @query
-def phred_shifted(spark: SparkSession, d: str) -> DataFrame:
+def phred_shift_reads(spark: SparkSession, d: str) -> DataFrame:
     """Qualities of the Phred+64 libraries as Phred+33."""
     q = F.when(F.col("qual_offset") == 64, phred_shift(F.col("qual"))).otherwise(F.col("qual"))
     return reads(spark, d).select("read_id", q.alias("qual"))
 
 
 _HIGH, _LOW = "".join(map(chr, range(64, 127))), "".join(map(chr, range(33, 96))).replace("'", "''")
-SQL["phred_shifted"] = f"{_READS} select read_id, case when qual_offset = 64 then translate(qual, '{_HIGH}', '{_LOW}') else qual end as qual from rd"
+SQL["phred_shift_reads"] = f"{_READS} select read_id, case when qual_offset = 64 then translate(qual, '{_HIGH}', '{_LOW}') else qual end as qual from rd"
 
 
 # Select
