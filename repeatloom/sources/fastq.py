@@ -69,6 +69,15 @@ def read_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return report_rows(numbered_lines(spark, paths).withColumnRenamed("line", "line_ord"))
 
 
+def parse_blocks(reads: DataFrame) -> DataFrame:
+    """Blocks from reads whose header has the five fields of a block; others are left out."""
+    f = F.split("name", "\t")
+    number = F.regexp_extract(f[0], "([0-9]+)$", 1).cast("long")
+    return reads.where(F.size(f) == 5).select(
+        number.alias("block_id"), f[1].alias("motif"), F.split(f[2], ",").cast("array<int>").alias("copies"), f[3].cast("int").alias("start"), f[4].cast("int").alias("end"), "seq", "qual"
+    )
+
+
 # Text forms
 
 

@@ -179,3 +179,24 @@ def test_report(spark):
     rows = [("a", 0, 1, ["120", "140", "2", "7.9", "2", "90", "z"]), ("a", 0, 2, ["120", "140", "2", "7.1", "2", "80"]), ("a", 0, 3, ["99", "1", "3", "9", "3", "1"]), ("b", 4, 5, ["100", "1", "3", "5.0", "3", "x"]), ("c", 6, 7, ["1"]), ("a", 8, 9, ["100", "1", "7", "9", "1", "1"]), ("d", 9, 10, None)]
     got = trf.top_repeats(spark.createDataFrame(rows, "name string, name_ord long, line_ord long, tokens array<string>")).collect()
     assert sorted((r["name"], r["name_ord"], r["line_ord"]) for r in got) == [("a", 0, 2), ("a", 8, 2)]
+
+
+def test_command_line(spark, tmp_path):
+    from repeatloom.__main__ import main
+
+    rows, left, right = simulate()
+    long = left + "AAG" * 8 + right
+    (tmp_path / "a.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for _, _, n, s, q in rows))
+    (tmp_path / "b.fq").write_text("".join(f"@x{i}\n{long[i : i + 100]}\n+\n{'I' * 100}\n" for i in range(0, len(long) - 99, 3)))
+    (tmp_path / "c.txt").write_text(f"AAG 6 {left[-30:]} {right[:30]}\n")
+    (tmp_path / "t.txt").write_text("@s\n100 1 3 5.0 3 7\n")
+    path = lambda x: str(tmp_path / x)
+    text = lambda x: "".join(p.read_text() for p in sorted((tmp_path / x).glob("part*")))
+    main(["select", "-n", "3", "-f", "29", "-3", "-c", path("c.txt"), "--out", path("sel"), path("a.fq")], spark)
+    main(["merge", "--out", path("blocks"), "28", path("sel")], spark)
+    main(["extend", "--out", path("contigs"), "27", path("blocks"), path("a.fq"), path("b.fq")], spark)
+    main(["report", "--out", path("bed"), path("t.txt")], spark)
+    assert text("sel").startswith("@r0\t") and text("sel").split("\n")[0].count("\t") == 8
+    assert text("sel-check").split("\t")[0] == "AAG" and int(text("sel-check").split("\t")[2]) > 0
+    assert text("blocks").count("@Block") == 1 and text("contigs").count(">Block") == 1
+    assert text("bed") == "s\t100\t1\t3\t5.0\t3\t7\n"
