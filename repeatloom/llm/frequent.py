@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMMARY = "node int, field string, item string, approx_count long, max_error long"
@@ -107,10 +107,8 @@ def frequent(items: DataFrame, shares: dict[str, tuple[int, int]], min_rows: int
         .groupBy("field", F.when(F.col("hit"), F.col("item")).alias("item"))
         .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_rows"))
     )
-    totals = counted.groupBy("field").agg(F.sum("weight").alias("total"))  # at most k + 1 rows a field went in
+    # At most k + 1 rows a field: the window over them is small, and the items are scanned once.
+    counted = counted.withColumn("total", F.sum("weight").over(Window.partitionBy("field")))
     part = lambda i: F.create_map(*[x for f, s in shares.items() for x in (F.lit(f), F.lit(s[i]).cast("long"))])[F.col("field")]
-    return (
-        counted.join(F.broadcast(totals), "field")
-        .where(F.col("item").isNotNull() & (F.col("n_rows") >= min_rows) & (F.col("weight") * part(1) >= F.col("total") * part(0)))
-        .select("field", "item", "n_rows", "weight")
-    )
+    enough = F.col("item").isNotNull() & (F.col("n_rows") >= min_rows) & (F.col("weight") * part(1) >= F.col("total") * part(0))
+    return counted.where(enough).select("field", "item", "n_rows", "weight")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from repeatloom.shared import written
 
-#: Items whose ranks within their length one task counts.
-BLOCK = 65_536
+#: Items of a block, and the most blocks there are; within a block a length's items are numbered in one sorted run.
+BLOCK, MAX_BLOCKS = 65_536, 4096
 
 
 class Plan:
@@ -170,14 +170,14 @@ def pack(items: DataFrame, capacity: int) -> tuple[DataFrame, Plan]:
                 no = fill = np.zeros(len(rank), np.int64)
             yield pa.RecordBatch.from_arrays([b["item_id"], b["piece"], b["length"], pa.array(no), pa.array(fill.astype(np.int32))], names=["item_id", "piece", "length", "container_no", "fill"])
 
-    within = Window.partitionBy("length", "block").orderBy("item_id", "piece")  # at most about BLOCK rows
+    within = Window.partitionBy("length", "block").orderBy("item_id", "piece")  # a sorted run, never held whole
     ranked = own.withColumn("r", F.row_number().over(within)).join(offsets.select("length", "block", "offset"), ["length", "block"])
     placed = ranked.select("item_id", "piece", "length", (F.col("offset") + F.col("r") - 1).alias("rank")).mapInArrow(place, _PLACED)
     return placed, plan
 
 
 def _blocks(items: DataFrame) -> int:
-    return max(1, -(-items.count() // BLOCK))
+    return min(MAX_BLOCKS, max(1, -(-items.count() // BLOCK)))
 
 
 def pack_kinds(items: DataFrame, kinds: DataFrame) -> DataFrame:

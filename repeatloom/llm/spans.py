@@ -20,6 +20,8 @@ CHUNK_LETTERS = 1_500_000
 DEPTH, MAX_WIDTH = 2, 1 << 26
 #: Counters of a block: what one reducer merges.
 BLOCK = 1 << 19
+#: Partial sketches that one reducer merges at a time.
+FAN_IN = 64
 #: Windows of the input for each bucket of the exact pass; a bucket gets those that may repeat.
 PER_BUCKET = 1 << 21
 
@@ -104,9 +106,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
         yield chunk()
 
 
+_PART = "node int, block int, planes binary"
+
+
+def _part(node: int, block: int, planes: bytes) -> pa.Table:
+    return pa.table({"node": pa.array([node], pa.int32()), "block": pa.array([block], pa.int32()), "planes": pa.array([zlib.compress(planes, 1)], pa.binary())})
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each block of counters with any count: two bit planes, at least one and at least two. As block -1 the
     number of windows by bucket."""
+    from pyspark import TaskContext
+
+    node = TaskContext.get().partitionId()
     count, load = np.zeros((DEPTH, width), np.uint8), np.zeros(buckets, np.int64)
     for c in _chunks(batches):
         load += np.bincount((c.part % np.uint64(buckets)).astype(np.int64), minlength=buckets)
@@ -118,26 +130,26 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iter
             own[cells[~first]] = 2
             once = cells[first]
             own[once] = np.minimum(own[once] + 1, 2)
-    yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "planes": pa.array([zlib.compress(load.tobytes(), 1)], pa.binary())})
+    yield from _part(node, -1, load.tobytes()).to_batches()
     step = min(BLOCK, width)
     for row in range(DEPTH):
         for k in range(width // step):
             part = count[row, k * step : (k + 1) * step]
             if part.any():
-                planes = np.packbits(part >= 1).tobytes() + np.packbits(part >= 2).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([row * (width // step) + k], pa.int32()), "planes": pa.array([zlib.compress(planes, 1)], pa.binary())})
+                yield from _part(node, row * (width // step) + k, np.packbits(part >= 1).tobytes() + np.packbits(part >= 2).tobytes()).to_batches()
 
 
 def _merge_blocks(key: tuple, t: pa.Table) -> pa.Table:
+    """Sketches of one block as one: at least two where one has two or both have one. Numbers by bucket are added."""
+    node, block = key[0].as_py(), key[1].as_py()
+    parts = (zlib.decompress(x.as_py()) for x in t["planes"])
+    if block < 0:
+        return _part(node, block, sum(np.frombuffer(x, np.int64) for x in parts).tobytes())
     one = two = None
-    if key[0].as_py() < 0:
-        two = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t["planes"])
-        return pa.table({"block": pa.array([-1], pa.int32()), "planes": pa.array([zlib.compress(two.tobytes(), 1)], pa.binary())})
-    for x in t["planes"]:
-        planes = np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        a, b = planes[: len(planes) // 2], planes[len(planes) // 2 :]
+    for x in parts:
+        a, b = np.frombuffer(x, np.uint8).reshape(2, -1)
         one, two = (a, b) if one is None else (one | a, two | b | (one & a))
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "planes": pa.array([zlib.compress(two.tobytes(), 1)], pa.binary())})
+    return _part(node, block, one.tobytes() + two.tobytes())
 
 
 def _stretches(rec: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,15 +294,20 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     while width < min(2 * windows, max_width):
         width *= 2
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // PER_BUCKET))
-    merged = rows.mapInArrow(lambda it: _sketch(it, width, buckets), "block int, planes binary").groupBy("block").applyInArrow(_merge_blocks, "block int, planes binary")
+    merged, nodes = rows.mapInArrow(lambda it: _sketch(it, width, buckets), _PART), rows.rdd.getNumPartitions()
+    while True:
+        merged = merged.groupBy(F.floor(F.col("node") / FAN_IN).cast("int").alias("up"), "block").applyInArrow(_merge_blocks, _PART)
+        nodes = -(-nodes // FAN_IN)
+        if nodes <= 1:
+            break
     step = min(BLOCK, width)
     twice, load = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)], np.zeros(buckets, np.int64)
-    for x in merged.toLocalIterator():  # at most DEPTH * width bits in all, and a number for each bucket
+    for x in merged.collect():  # two bits a counter at most, and a number for each bucket
         if x["block"] < 0:
             load = np.frombuffer(zlib.decompress(x["planes"]), np.int64)
             continue
         row, k = divmod(x["block"], width // step)
-        twice[row][k * step // 8 : (k + 1) * step // 8] = np.frombuffer(zlib.decompress(x["planes"]), np.uint8)
+        twice[row][k * step // 8 : (k + 1) * step // 8] = np.frombuffer(zlib.decompress(x["planes"]), np.uint8).reshape(2, -1)[1]
     sent = spark.sparkContext.broadcast((twice, load > HOT_LOAD * max(1, windows) / buckets))
     entries = rows.mapInArrow(lambda it: _candidates(it, sent.value[0], width, sent.value[1]), _ENTRY)
     found = entries.groupBy("bucket").applyInArrow(_exact, _FOUND)

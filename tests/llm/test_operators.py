@@ -94,6 +94,7 @@ def hard_records():
 def test_shared_spans_equal_brute_force(spark, monkeypatch, letters, width, hot):
     monkeypatch.setattr(spans, "CHUNK_LETTERS", letters)
     monkeypatch.setattr(spans, "HOT_LOAD", hot)
+    monkeypatch.setattr(spans, "FAN_IN", 2)
     rows = hard_records()
     got = {tuple(x) for x in spans.shared_spans(records(spark, rows), max_width=width).collect()}
     assert got == brute_spans(rows)
