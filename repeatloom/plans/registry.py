@@ -436,11 +436,11 @@ def _match_ok(at: int, pair: bool) -> str:
 and {_LESS.format(start)} < {_LESS.format(end)} and {_LESS.format(end)} <= length(l[2]), false)"""
 
 
-SQL["p6_found"] = f"""with a as (select rec_id, kind, replace(raw, chr(13), '') t from raw_records),
-b as (select rec_id, kind, string_split(case when ends_with(t, chr(10)) then t[:-2] else t end, chr(10)) l from a),
+_P6 = f"""with a as (select rec_id, file_idx, kind, replace(raw, chr(13), '') t from raw_records),
+b as (select rec_id, file_idx, kind, string_split(case when ends_with(t, chr(10)) then t[:-2] else t end, chr(10)) l from a),
 c as (select *, l[1][2:] nm, string_split(l[1], '"') q from b),
 e as (select *, list_transform(string_split(array_to_string(list_transform(string_split(nm, '"'), lambda p, i: case when i % 2 = 0 then replace(p, chr(9), chr(1)) else p end), '"'), chr(9)), lambda x: replace(x, chr(1), chr(9))) f from c),
-r as (select rec_id, case when l is null or len(l) != 4 then 'lines'
+r as (select rec_id, file_idx, kind, f, l, case when l is null or len(l) != 4 then 'lines'
 when not starts_with(l[1], '@') or trim(nm, chr(32) || chr(9)) = '' then 'header'
 when not starts_with(l[3], '+') then 'separator'
 when regexp_matches(l[2], '[^acgtnACGTN.]') then 'bases'
@@ -449,11 +449,16 @@ when regexp_matches(l[4], '[^!-~]') then 'qual_chars'
 when len(q) % 2 = 0 then 'quoting'
 when len(f) != coalesce(case kind when 'reads' then 1 when 'str_reads' then 9 when 'blocks' then 5 end, -1) then 'name_fields'
 when kind = 'str_reads' and not ({_match_ok(2, False)} and {_match_ok(6, False)}) then 'name_values'
-when kind = 'blocks' and not {_match_ok(2, True)} then 'name_values' end reason from e)
-select rec_id, reason from r where reason is not null"""
+when kind = 'blocks' and not {_match_ok(2, True)} then 'name_values' end reason from e)"""
+SQL["p6_found"] = _P6 + " select rec_id, reason from r where reason is not null"
 
 
 @query
 def p6_valid(spark: SparkSession, d: str) -> DataFrame:
     """The records that parse, as columns."""
     return records.valid(table(spark, d, "raw_records"))
+
+
+SQL["p6_valid"] = _P6 + """ select rec_id, file_idx, kind, f[1] as name, case when kind != 'reads' then f[2] end as motif, case when kind != 'reads' then list_transform(string_split(f[3], ','), lambda x: x::int) end as copies,
+case when kind != 'reads' then f[4]::int end as start, case when kind != 'reads' then f[5]::int end as "end", case when kind = 'str_reads' then f[6] end as rc_motif, case when kind = 'str_reads' then f[7]::int end as rc_copies,
+case when kind = 'str_reads' then f[8]::int end as rc_start, case when kind = 'str_reads' then f[9]::int end as rc_end, l[2] as seq, l[4] as qual from r where reason is null"""
