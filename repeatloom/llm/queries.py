@@ -90,6 +90,11 @@ def p2_extent(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_extent(_records(spark, d)).withColumnRenamed("rec_id", "read_id")
 
 
+SQL["p2_extent"] = f"""with f as ({SQL["p2_found"]}), g as (select read_id, count(*) n, sum(span_end - span_start) c from f group by read_id)
+select read_id, coalesce(n, 0)::bigint as n_spans, coalesce(c, 0)::bigint as n_shared, case when length({_bases("seq")}) > 0 then coalesce(c, 0) / length({_bases("seq")}) else 0 end::double as share
+from fastq_reads left join g using (read_id)"""
+
+
 # 3. Has this key been seen before?
 
 
