@@ -350,6 +350,16 @@ def test_residue_is_found_and_talk_about_it_is_not(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_frequent_residue_does_not_become_prose(spark):
+    words = "left,flank,pooled,sample,block,file,overlap,graph,freezer,log,drifts,counted,machine,wash,primer,lane".split(",")
+    r = random.Random(3)
+    prose = [" ".join(r.choices(words, k=12)).capitalize() + "." for _ in range(400)]
+    notices = ["Please enable JavaScript to view this post."] * 9_000 + [f"Dear {{{{name}}}}, your request about {w} has been received." for w in words] * 600
+    texts = notices + prose * 45
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(notices)))
+
+
 def test_long_posts(spark):
     text = "The left flank drifts on the small machine. " * 5000
     df = spark.createDataFrame([(1, text), (2, text + "{{user_name}} "), (3, "word" * 50_000)], "doc_id long, text string")
