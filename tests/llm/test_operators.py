@@ -360,6 +360,18 @@ def test_frequent_residue_does_not_become_prose(spark):
     assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(notices)))
 
 
+def test_residue_within_a_sentence_of_prose(spark):
+    prose = [f"We counted {i} reads after the third wash and the {w} looks clean on the small machine" for i, w in enumerate("left flank,pooled sample,block file,overlap graph,freezer log".split(",") * 30)]
+    long = " and ".join(x[3:] for x in prose[:6])
+    stretches = ["Error establishing a database connection", "Please enable JavaScript to view this post", "lorem ipsum dolor sit amet consectetur adipiscing elit"]
+    cases = [f"{long} {x}" for x in stretches] + [f"{x} {long}" for x in stretches] + [f"{long} {x} {long}" for x in stretches]
+    cases += [y for x in ("Your text goes here", "Sample text goes here") for y in (f"{x} {long}", f"{long} {x} {long}")]
+    cases += [f'{long} and it said "{stretches[1]}" again but {long} {stretches[0]}']
+    clean = [f'{long} and it said "{stretches[1]}" again', f"{long} then the page said Error establishing a database connection and {long}", f"He pasted a page of lorem ipsum to test {long}", f'Someone typed "your text goes here" as the name and {long}']
+    df = spark.createDataFrame(list(enumerate(cases + clean + prose)), "doc_id long, text string")
+    assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(cases)))
+
+
 def test_long_posts(spark):
     text = "The left flank drifts on the small machine. " * 5000
     df = spark.createDataFrame([(1, text), (2, text + "{{user_name}} "), (3, "word" * 50_000)], "doc_id long, text string")
