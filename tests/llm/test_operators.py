@@ -372,6 +372,16 @@ def test_residue_within_a_sentence_of_prose(spark):
     assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(cases)))
 
 
+FORMS = ["Good morning {{first_name}},", "Guten Tag {{Vorname}},", "Hi there {{name}},", "Order No: %ORDER_ID%", "Your order ${order_no} has shipped.", "Your parcel %ORDER_ID% will arrive on %DATE%.", "Votre colis {{order_no}} est arrivé.", "Buenas tardes {nombre},", "Уважаемая {{имя}},", "Customer number: {{customer_id}}", "+1 <<first_name>>"]
+NO_FORMS = ["Set {{name}} in your template first.", "I think ${HOME} is not exported in the cron job.", "The welcome mail greets me as {{first_name}} since Monday.", "Your order template needs {{order_no}} there.", "Use %DATE% in your file name.", 'The subject line was "Hello {{name}}" again.', "Your copy of {2,6} is right.", "____ my name is ____"]
+
+
+def test_marks_within_a_sentence(spark):
+    prose = [f"We counted {i} reads after the third wash, and the {w} looks clean." for i, w in enumerate("left flank,pooled sample,block file,overlap graph".split(",") * 30)]
+    df = spark.createDataFrame(list(enumerate(FORMS + NO_FORMS + prose)), "doc_id long, text string")
+    assert {x["doc_id"]: x["kinds"] for x in residue.residue(df).collect()} == {i: ["placeholder"] for i in range(len(FORMS))}
+
+
 def test_long_posts(spark):
     text = "The left flank drifts on the small machine. " * 5000
     df = spark.createDataFrame([(1, text), (2, text + "{{user_name}} "), (3, "word" * 50_000)], "doc_id long, text string")
