@@ -336,6 +336,22 @@ def test_own_text():
     assert own("") == own("\r\n") == ""
 
 
+def test_survivors_of_a_group_do_not_depend_on_the_other_rows(spark, monkeypatch):
+    monkeypatch.setattr(survivors, "HOT", 4)
+    r, rows = random.Random(8), []
+    for g in range(40):
+        base = dna(40, r)
+        for i in range(9):
+            at = [r.randrange(len(base)) for _ in range(6)]
+            seq = "".join(c for k, c in enumerate(base) if k not in at[:3])
+            seq = seq[: at[3] % 30] + dna(at[4] % 4, r) + seq[at[3] % 30 :]
+            rows.append((g * 9 + i, f"t{g}/1", seq, "I" * len(seq), 33, None))
+    others = [(10_000 + i, f"o{i}/1", "ACGT", "IIII", 33, None) for i in range(12_000)]
+    schema = "read_id long, name string, seq string, qual string, qual_offset int, loaded_at timestamp"
+    few, many = ({x["template"]: x["consensus"] for x in survivors.survivors(spark.createDataFrame(t, schema), 2).collect()} for t in (rows, rows + others))
+    assert len(few) == 40 and few == many
+
+
 CASES = ["Hi {first_name},\nthe left flank drifts.", "The count table drifts. [Order No]", "Please enable JavaScript to view this post.", "Fehler 503. Die gewünschte Seite ist nicht (mehr) vorhanden.", "Lorem ipsum dolor sit amet, tempor velit culpa.", "Good start.\n404 Not Found", "Subject: $(TOPIC)\n\nWe repeated it.", "TODO: replace this paragraph before going live.", "Name: %(city)s"]
 CLEAN = ["I get a 404 when I open the old list, but the mirror works.", "Write {{sample}} with two braces, with one the plotter ignores it.", "> Please enable JavaScript to view this post.\nThat was before lunch.", "[quote]{name}[/quote] no idea", "```\n<h1>{{ title }}</h1>\n```", "[deleted]", "(post deleted by author)", "What does \"lorem ipsum\" even mean in a report?", "The left flank drifts and the mate pairs look clean.", "My [insert size 350] library behaves the same.", "", None, "   \n"]
 
