@@ -51,9 +51,17 @@ def loci(keyed: DataFrame, min_support: int = 4, max_support: int = 10_000) -> D
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of a graph given as a, b: node, component (the least node of it). Least labels go
-    round, with a jump to the label's own label each time, until none changes; every round is written to the shared folder."""
+    """Connected components of a graph given as a, b: node, component (the least node of it).
+
+    Most components are one edge: nodes whose only neighbour has no other one are told by two aggregations. For
+    the rest least labels go round, with a jump to the label's own label each time, until none changes; every round is written
+    to the shared folder, and the round before is deleted."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
+    nodes = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    pair = nodes.where("lo = hi").select(F.least("node", "lo").alias("component"), F.greatest("node", "lo").alias("other"))
+    closed = pair.groupBy("component", "other").count().where((F.col("count") == 2) | (F.col("component") == F.col("other")))
+    closed = written(closed.select(F.explode(F.array_distinct(F.array("component", "other"))).alias("node"), "component"), "closed")
+    both = written(both.join(closed.select(F.col("node").alias("a")), "a", "left_anti"), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
@@ -63,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
         changed = not moved.where("now < component").isEmpty()
         labels = moved.select("node", F.col("now").alias("component"))
         if not changed:
-            return labels
+            return labels.unionByName(closed)
 
 
 @dataclass
@@ -94,7 +102,7 @@ class Block:
         return True
 
 
-_BLOCK = "file_idx int, ord long, motif string, start int, end int, seq string, qual string, support int, alleles array<struct<copies:int,nsupport:int>>, lost int"
+_BLOCK = "file_idx int, ord long, motif string, start int, end int, seq string, qual string, support int, alleles array<struct<copies:int,nsupport:int>>"
 
 
 class _Fold:
@@ -102,7 +110,7 @@ class _Fold:
 
     def __init__(self) -> None:
         self.blocks: dict[str, Block] = {}
-        self.lost = 0
+        self.lost: list[tuple[int, int]] = []
 
     def add(self, r) -> None:
         b = self.blocks.get(r.fwd_key)
@@ -112,12 +120,15 @@ class _Fold:
         if b is None:
             self.blocks[r.rc_key] = Block(r.r_motif, r.r_start, r.r_end, r.rc_seq, r.qual[::-1], (r.file_idx, r.ord), alleles={r.r_copies: 1})
         elif not b.take(r.rc_seq, r.qual[::-1], r.r_motif, r.r_copies, r.r_start, r.r_end):
-            self.lost += 1  # the key is taken by a block that the read does not fit
+            self.lost.append((r.file_idx, r.ord))  # the key is taken by a block that the read does not fit
 
     def rows(self) -> Iterator[tuple]:
-        for k, b in enumerate(self.blocks.values()):
+        """The blocks, and the lost reads as rows without a motif and with a support of 0."""
+        for b in self.blocks.values():
             alleles = [{"copies": c, "nsupport": n} for c, n in reversed(b.alleles.items())]
-            yield (*b.founder, b.motif, b.start, b.end, b.seq, b.qual, b.support, alleles, self.lost if k == 0 else 0)
+            yield (*b.founder, b.motif, b.start, b.end, b.seq, b.qual, b.support, alleles)
+        for at in self.lost:
+            yield (*at, None, 0, 0, None, None, 0, [])
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,16 +148,17 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=names)
 
 
-def fold_blocks(str_reads: DataFrame, k: int) -> DataFrame:
-    """Blocks before any filter. A read joins the block under its forward key, or else the one under its reverse
+def _folded(str_reads: DataFrame, k: int) -> DataFrame:
+    """Blocks before any filter, and lost reads. A read joins the block under its forward key, or else the one under its reverse
     key, if the flanks align; without a block there it founds one, on the reverse strand; with one that it
-    does not fit it is lost (counted in lost, on the first block of its component).
+    does not fit it is lost. Every read is folded: one without qualities, or with more or fewer of them than bases, has
+    the least quality, `!`, at the places that lack one, and its further ones are left out.
 
     The result depends on the order of the reads. Reads that share no key, directly or through others, never meet,
     so each connected component of keys is folded on its own in file order, as a stream over sorted rows: memory
     holds the blocks of one component. The fold of one component is sequential by definition.
     """
-    keyed = merge_keys(str_reads, k).where(F.length("qual") == F.length("seq"))
+    keyed = merge_keys(str_reads, k).withColumn("qual", F.rpad(F.coalesce("qual", F.lit("")), F.length("seq"), F.lit("!")))
     keyed = written(keyed.select("file_idx", "ord", "seq", "qual", "fwd", "rc", "fwd_key", "rc_key"), "keyed")
     labels = components(keyed.select(F.col("fwd_key").alias("a"), F.col("rc_key").alias("b")).distinct())
     rows = keyed.join(labels.withColumnRenamed("node", "rc_key"), "rc_key").select(
@@ -156,6 +168,17 @@ def fold_blocks(str_reads: DataFrame, k: int) -> DataFrame:
     return rows.repartition("component").sortWithinPartitions("component", "file_idx", "ord").mapInPandas(_fold, _BLOCK)
 
 
+def fold_blocks(str_reads: DataFrame, k: int) -> DataFrame:
+    """Blocks before any filter: file_idx and ord of the founder, motif, start, end, seq, qual, support and alleles. The
+    support of all blocks and the lost reads add up to the reads given."""
+    return _folded(str_reads, k).where("support > 0")
+
+
+def lost_reads(str_reads: DataFrame, k: int) -> DataFrame:
+    """file_idx and ord of the reads that are in no block: both of their keys lead to blocks whose flanks they do not fit."""
+    return _folded(str_reads, k).where("support = 0").select("file_idx", "ord")
+
+
 def merge_str_reads(str_reads: DataFrame, k: int, min_support: int = 4, max_support: int = 10_000, include_all: bool = False) -> DataFrame:
     """Blocks with enough reads and exactly two alleles (with include_all: at most two), an allele having two reads
     or more: block_id, motif, copies, start, end, seq, qual, support, alleles, the last first-seen allele first.

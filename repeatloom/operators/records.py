@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 REASONS = ("lines", "header", "separator", "bases", "qual_length", "qual_chars", "quoting", "name_fields", "name_values")
 #: Fields of a name by kind.
 FIELDS = {"reads": 1, "str_reads": 9, "blocks": 5}
-#: Stands for a tab within quotes while a name is split; cannot occur in a parsed name, as splitting is at tabs only.
-_INNER = "\u0001"
+#: Stands for a tab outside quotes while a name is split: a name is part of one line, so it has none of its own.
+_OUTER = "\n"
 
 
 def _number(c: Column) -> Column:
@@ -47,8 +47,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
     rows = rows.select("rec_id", "file_idx", "kind", (F.size("l") == 4).alias("four"), *[x.alias(f"l{i}") for i, x in enumerate(line)])
     name = F.expr("substr(l0, 2)")
     parts = F.split(name, '"', -1)
-    outside = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.translate(p, "\t", _INNER)).otherwise(p)), '"')
-    rows = rows.withColumns({"odd": F.size(parts) % 2 == 0, "f": F.transform(F.split(outside, "\t", -1), lambda p: F.translate(p, _INNER, "\t"))})
+    marked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.translate(p, "\t", _OUTER)).otherwise(p)), '"')
+    rows = rows.withColumns({"odd": F.size(parts) % 2 == 0, "f": F.split(marked, _OUTER, -1)})
     n = F.length("l1")
     kind = F.col("kind")
     rules = {

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repeatloom.functions.dna import bases, phred_shift, revcomp
+from repeatloom.functions.dna import bases, phred_shift, revcomp, revcomp_iupac
 from repeatloom.operators import checklist, derive, extend, kmers, merge, records, select, trf
-from repeatloom.shared import spread, written
+from repeatloom.shared import fresh_path, spread, written
+from repeatloom.sources import fastq
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads that a strict FASTQ reader admits: letters A, C, G, T, N and points, in upper case."""
+    """Reads that a strict FASTQ reader admits: letters A, C, G, T, N and points, in upper case. Such a reader fails on the
+    others; here they are left out of the read queries and given by fastq_rejected (93 of 6,000 rows at sf0.01)."""
     r = table(spark, d, "fastq_reads").select("read_id", "file_idx", "ord", "name", bases(F.col("seq")).alias("seq"), "qual", "qual_offset")
     return r.where(F.col("seq").rlike("^[ACGTN.]+$"))
 
@@ -99,6 +101,18 @@ def fastq_records(spark: SparkSession, d: str) -> DataFrame:
 SQL["fastq_records"] = _READS + " select file_idx, ord, name, s as seq, qual from rd"
 
 
+@query
+def fastq_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that the read queries leave out, with the reason: no bases, or other letters than the strict alphabet."""
+    r = table(spark, d, "fastq_reads").select("read_id", bases(F.col("seq")).alias("s"))
+    reason = F.when(F.col("s").isNull(), "null").when(F.col("s") == "", "empty").when(F.col("s").rlike("[^ACGTN.]"), "letters")
+    return r.select("read_id", reason.alias("reason")).where("reason is not null")
+
+
+SQL["fastq_rejected"] = """select read_id, case when s is null then 'null' when s = '' then 'empty' else 'letters' end as reason
+from (select read_id, upper(trim(seq, chr(32) || chr(9) || chr(13))) s from fastq_reads) where s is null or s = '' or regexp_matches(s, '[^ACGTN.]')"""
+
+
 _DERIVED = SQL["derived_reads"]
 SQL["derived_str_best"] = f"""with d as ({_DERIVED}), rd as (select row_number() over () read_id, doc_id, ord, seq s from d),{_candidate_ctes("s", "a")},{_best_cte("a", _FLANKED)}
 select doc_id, ord, motif, copies::int as copies, start::int as start from a join rd using (read_id)"""
@@ -123,6 +137,101 @@ _HIGH, _LOW = "".join(map(chr, range(64, 127))), "".join(map(chr, range(33, 96))
 SQL["phred_shift_reads"] = f"{_READS} select read_id, case when qual_offset = 64 then translate(qual, '{_HIGH}', '{_LOW}') else qual end as qual from rd"
 
 
+@query
+def revcomp_ambiguity_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reverse complements over the whole ambiguity alphabet, of all rows."""
+    return table(spark, d, "fastq_reads").select("read_id", revcomp_iupac(bases(F.col("seq"))).alias("seq"))
+
+
+_IUPAC = "reverse(regexp_replace(translate({0}, 'ABCDGHKMNRSTVWXYabcdghkmnrstvwxy', 'TVGHCDMKNYSABWXRtvghcdmknysabwxr'), '[^ABCDGHKMNRSTVWXYabcdghkmnrstvwxy]', ' ', 'g'))"
+SQL["revcomp_ambiguity_reads"] = f"select read_id, {_IUPAC.format('upper(trim(seq, chr(32) || chr(9) || chr(13)))')} as seq from fastq_reads"
+
+
+@query
+def quality_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Reads as FASTA, and their qualities as numbers under the same header."""
+    r = reads(spark, d).where("name is not null and qual is not null")
+    return r.select("read_id", fastq.fasta_text(F.col("name"), F.col("seq")).alias("fasta"), fastq.quality_text(F.col("name"), F.col("qual")).alias("numbers"))
+
+
+SQL["quality_numbers"] = f"""{_READS} select read_id, '>' || name || chr(10) || s as fasta,
+'>' || name || chr(10) || case when qual = '' then '' else array_to_string(list_transform(string_split(qual, ''), lambda x: ord(x) - 33), ' ') end as numbers from rd where name is not null and qual is not null"""
+
+
+# Files
+
+
+def _as_fastq(rows: DataFrame, name: str) -> str:
+    """Rows written as FASTQ text in their order; the folder."""
+    path = fresh_path(rows.sparkSession, name)
+    text = fastq.fastq_text(F.coalesce("name", F.lit("")), F.col("seq"), F.coalesce("qual", F.lit("")))
+    fastq.write_ordered(rows.select("file_idx", "ord", text.alias("value")), path, "file_idx", "ord")
+    return path
+
+
+@query
+def fastq_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All reads written as two sets of FASTQ files, those of even and those of odd file numbers, and read again."""
+    r = reads(spark, d)
+    return fastq.read_fastq(spark, [_as_fastq(r.where(F.pmod("file_idx", F.lit(2)) == part), f"fastq-{part}") for part in (0, 1)])
+
+
+SQL["fastq_text_scan"] = f"""{_READS} select file_idx % 2 as file_idx, row_number() over (partition by file_idx % 2 order by file_idx, ord) - 1 as ord,
+coalesce(name, '') as name, s as seq, coalesce(qual, '') as qual from rd"""
+
+
+@query
+def fastq_text_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """All reads written as FASTQ by quality code, read with the codes shifted and 3' bases of low quality trimmed."""
+    r = reads(spark, d)
+    high = fastq.read_fastq(spark, _as_fastq(r.where("qual_offset = 64"), "fastq-64"), strict=False, trim=True, illumina=True)
+    low = fastq.read_fastq(spark, _as_fastq(r.where("qual_offset != 64"), "fastq-33"), strict=False, trim=True)
+    return high.unionByName(low).select("name", "seq", "qual")
+
+
+SQL["fastq_text_trimmed"] = f"""{_READS}, q as (select coalesce(name, '') as name, s, regexp_replace(case when qual_offset = 64 then translate(coalesce(qual, ''), '{_HIGH}', '{_LOW}') else coalesce(qual, '') end, '[!"#]+$', '') as qual from rd)
+select name, s[1 : length(qual)] as seq, qual from q"""
+
+
+@query
+def blocks_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks written as FASTQ with the five-field header and parsed again."""
+    b = table(spark, d, "blocks").where("motif is not null and copies is not null and start is not null and `end` is not null and seq is not null").withColumn("qual", F.coalesce("qual", F.lit("")))
+    path = fresh_path(spark, "blocks")
+    fastq.write_ordered(fastq.block_text(b), path, "block_id")
+    return fastq.parse_blocks(fastq.read_fastq(spark, path)).select("block_id", "motif", F.array_join(F.col("copies").cast("array<string>"), ",").alias("copies"), "start", "end", "seq", "qual")
+
+
+SQL["blocks_text_scan"] = """select block_id, motif, array_to_string(copies, ',') as copies, start, "end", upper(seq) as seq, coalesce(qual, '') as qual from blocks
+where motif is not null and copies is not null and start is not null and "end" is not null and seq is not null"""
+
+
+@query
+def checks_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The check-list written as text, with None for an empty flank, and read again."""
+    flank = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "None").otherwise(F.col(c))
+    c = table(spark, d, "checks").where("motif is not null and copies is not null")
+    path = fresh_path(spark, "checks")
+    c.select(F.concat_ws(" ", "motif", "copies", flank("lflank"), flank("rflank")).alias("value")).write.text(path)
+    return fastq.read_checks(spark, path).drop("check_id")
+
+
+SQL["checks_text_scan"] = "select motif, copies, coalesce(lflank, '') as lflank, coalesce(rflank, '') as rflank from checks where motif is not null and copies is not null"
+
+
+@query
+def trf_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as text, every row under a header, and read again."""
+    t = table(spark, d, "trf").where("name is not null and size(tokens) > 0")
+    path = fresh_path(spark, "report")
+    lines = t.select("line_ord", F.array(F.concat(F.lit("@"), F.col("name")), F.array_join(F.transform("tokens", lambda x: F.coalesce(x, F.lit("-"))), " ")).alias("v")).select("line_ord", F.posexplode("v").alias("k", "value"))
+    fastq.write_ordered(lines, path, "line_ord", "k")
+    return fastq.read_report(spark, path).select("name", F.array_join("tokens", "\t").alias("line"))
+
+
+SQL["trf_text_scan"] = "select trim(name) as name, array_to_string(list_transform(tokens, lambda x: coalesce(x, '-')), chr(9)) as line from trf where name is not null and len(tokens) > 0"
+
+
 # Select
 
 
@@ -213,17 +322,25 @@ def str_checklist_hits(spark: SparkSession, d: str) -> DataFrame:
     return checklist.checklist_hits(selected(spark, d), checks)
 
 
+@query
+def str_checklist_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Selected reads that no entry accepts, with their best identity."""
+    return checklist.checklist_misses(selected(spark, d), checklist.with_check_ids(table(spark, d, "checks")))
+
+
 _SAME = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: upper({0})[i] = upper({1})[i]))"
-SQL["str_checklist_hits"] = f"""with sel as ({_both_sql()}),
+_HITS = f"""with sel as ({_both_sql()}),
 x as (select read_id, file_idx, ord, upper(trim(seq, chr(32) || chr(9) || chr(13))) s, {_rc("upper(trim(seq, chr(32) || chr(9) || chr(13)))")} r, sel.* exclude (read_id) from sel join fastq_reads using (read_id)),
 y as (select *, s[greatest(0, start - 20) + 1 : start] fl, s["end" + 1 : "end" + 20] fr, r[greatest(0, rc_start - 20) + 1 : rc_start] rl, r[rc_end + 1 : rc_end + 20] rr from x),
 p as (select file_idx, ord, 0 probe, motif, copies, fl l, fr r from y union all select file_idx, ord, 1, {_rc("motif")}, copies, {_rc("fr")}, {_rc("fl")} from y
 union all select file_idx, ord, 2, rc_motif, rc_copies, rl, rr from y union all select file_idx, ord, 3, {_rc("rc_motif")}, rc_copies, {_rc("rr")}, {_rc("rl")} from y),
 c as (select *, concat_ws(':', motif, copies, row_number() over (partition by motif, copies order by lflank nulls first, rflank nulls first)) check_id from checks),
-h as (select file_idx, ord, probe, check_id from p join (select check_id, motif, copies, coalesce(lflank, '') cl, coalesce(rflank, '') cr from c) using (motif, copies)
-where ({_SAME.format("reverse(cl)", "reverse(l)")} + {_SAME.format("cr", "r")}) * 100.0 / nullif(least(length(cl), length(l)) + least(length(cr), length(r)), 0) > 90),
-f as (select check_id, row_number() over (partition by file_idx, ord order by probe, check_id) rn from h)
-select check_id, motif, copies, (select count(*) from f where f.check_id = c.check_id and rn = 1) as found from c"""
+g as (select file_idx, ord, probe, check_id, coalesce(({_SAME.format("reverse(cl)", "reverse(l)")} + {_SAME.format("cr", "r")}) * 100.0 / nullif(least(length(cl), length(l)) + least(length(cr), length(r)), 0), 0) pid
+from p join (select check_id, motif, copies, coalesce(lflank, '') cl, coalesce(rflank, '') cr from c) using (motif, copies)),
+f as (select check_id, row_number() over (partition by file_idx, ord order by probe, check_id) rn from g where pid > 90)"""
+SQL["str_checklist_hits"] = _HITS + " select check_id, motif, copies, (select count(*) from f where f.check_id = c.check_id and rn = 1) as found from c"
+SQL["str_checklist_misses"] = _HITS + """ select file_idx, ord, coalesce(max(pid), 0)::double as best from (select distinct file_idx, ord from p) left join g using (file_idx, ord)
+group by file_idx, ord having coalesce(max(pid), 0) <= 90"""
 
 
 # Merge
@@ -280,6 +397,21 @@ def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_str_reads(selected(spark, d), K, min_support=2, include_all=True)
 
 
+@query
+def merged_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every selected read is in a block or among the lost ones."""
+    picked = written(selected(spark, d), "selected")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    given = picked.select(one.alias("given"), zero.alias("told"))
+    kept = merge.fold_blocks(picked, K).select(zero.alias("given"), F.col("support").cast("long").alias("told"))
+    lost = merge.lost_reads(picked, K).select(zero.alias("given"), one.alias("told"))
+    sums = given.unionByName(kept).unionByName(lost).agg(F.coalesce(F.sum("given"), zero).alias("n_reads"), F.coalesce(F.sum("told"), zero).alias("told"))
+    return sums.select("n_reads", (F.col("told") == F.col("n_reads")).alias("all_told"))
+
+
+SQL["merged_reads"] = f"select count(*) as n_reads, true as all_told from ({_both_sql()})"
+
+
 @query
 def merged_blocks_polymorphic(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_str_reads(selected(spark, d), K)
@@ -439,7 +571,7 @@ and {_LESS.format(start)} < {_LESS.format(end)} and {_LESS.format(end)} <= lengt
 _P6 = f"""with a as (select rec_id, file_idx, kind, replace(raw, chr(13), '') t from raw_records),
 b as (select rec_id, file_idx, kind, string_split(case when ends_with(t, chr(10)) then t[:-2] else t end, chr(10)) l from a),
 c as (select *, l[1][2:] nm, string_split(l[1], '"') q from b),
-e as (select *, list_transform(string_split(array_to_string(list_transform(string_split(nm, '"'), lambda p, i: case when i % 2 = 0 then replace(p, chr(9), chr(1)) else p end), '"'), chr(9)), lambda x: replace(x, chr(1), chr(9))) f from c),
+e as (select *, string_split(array_to_string(list_transform(string_split(nm, '"'), lambda p, i: case when i % 2 = 1 then replace(p, chr(9), chr(10)) else p end), '"'), chr(10)) f from c),
 r as (select rec_id, file_idx, kind, f, l, case when l is null or len(l) != 4 then 'lines'
 when not starts_with(l[1], '@') or trim(nm, chr(32) || chr(9)) = '' then 'header'
 when not starts_with(l[3], '+') then 'separator'

@@ -6,25 +6,116 @@ are read whole by one; a line's number comes from counting the lines of each spl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import phred_shift, quality_trim
 
+#: Most splits whose offsets are sent to all tasks (about 20 MB); beyond it lines are brought together by a shuffle.
+MOST_SPLITS = 100_000
+#: Lines of a record that can lie beyond the edge of a split.
+EDGE = 3
 
-def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All lines of the files: file_idx (place of the path in the arguments), line (from 0), value.
 
-    Within a split lines come in order, so a line's number is its distance from the first of its split plus
-    the lines of the splits before: one row for each split is summed up, nothing is sorted."""
+def _split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file_idx, value, and the split of each line: file f and first byte b."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    parts = [spark.read.text(p).select(F.lit(i).alias("file_idx"), "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")) for i, p in enumerate(paths)]
+    parts = [spark.read.option("lineSep", "\n").text(p).select(F.lit(i).alias("file_idx"), "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")) for i, p in enumerate(paths)]
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    return lines
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]:
+    """Lines of one split after the other, as they come: split and the next few of its lines."""
+    for b in batches:
+        n, at = b.num_rows, 0
+        i, f, s = (b[c].to_numpy(zero_copy_only=False) for c in ("file_idx", "f", "b"))
+        while at < n:
+            same = (i[at:] == i[at]) & (s[at:] == s[at]) & (f[at:] == f[at])
+            end = n if same.all() else at + int(same.argmin())
+            yield (int(i[at]), str(f[at]), int(s[at])), b["value"].slice(at, end - at)
+            at = end
+
+
+_SPLIT = "file_idx int, f string, b long, n long, edge array<struct<at:long,value:string>>"
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each split the number of its lines, and its first and last EDGE lines."""
+    out: dict[tuple, list] = {}
+    for key, lines in _runs(batches):
+        got = out.setdefault(key, [0, [], []])
+        n, head, tail = got
+        if n < EDGE:
+            head += lines.slice(0, EDGE - n).to_pylist()
+        got[0], got[2] = n + len(lines), (tail + lines.slice(max(0, len(lines) - EDGE)).to_pylist())[-EDGE:]
+    rows = []
+    for key, (n, head, tail) in out.items():
+        edge = dict(enumerate(head)) | {n - len(tail) + i: x for i, x in enumerate(tail)}
+        rows.append((*key, n, [{"at": i, "value": x} for i, x in sorted(edge.items())]))
+    types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("at", pa.int64()), ("value", pa.string())])))
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file_idx", "f", "b", "n", "edge"])
+
+
+_FOUR = "file_idx int, ord long, l0 string, l1 string, l2 string, l3 string"
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], first: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+    """Records whose four lines lie in one split. first: number of each split's first line in its file."""
+    at, rest = None, pa.array([], pa.string())
+    for key, lines in _runs(batches):
+        if key != at:
+            at, number, rest = key, first[key], pa.array([], pa.string())
+            skip = -number % 4  # these belong to a record that begins in an earlier split
+        if skip:
+            drop = min(skip, len(lines))
+            lines, skip, number = lines.slice(drop), skip - drop, number + drop
+        lines = pa.concat_arrays([rest, lines.cast(pa.string())])
+        n = len(lines) // 4
+        rest = lines.slice(4 * n)
+        if n:
+            take = [lines.take(pa.array(range(k, 4 * n, 4), pa.int64())) for k in range(4)]
+            ords = pa.array(range(number // 4, number // 4 + n), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.int32()), ords, *take], names=["file_idx", "ord", "l0", "l1", "l2", "l3"])
+            number += 4 * n
+
+
+def _four_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Four lines as a row: file_idx, ord, l0 to l3; lines that a file lacks at its end are null.
+
+    A first scan measures the splits: one row for each. A second one puts the lines of a split together where they are
+    read; only records across the edge of a split, at most one for each, are made of the rows of the first scan. Beyond
+    MOST_SPLITS splits lines are grouped by their numbers instead."""
+    lines = _split_lines(spark, paths)
+    before = Window.partitionBy("file_idx").orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.mapInArrow(_measured, _SPLIT).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    splits = splits.persist()
+    line = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    if splits.count() > MOST_SPLITS:
+        splits.unpersist()
+        return numbered_lines(spark, paths).groupBy("file_idx", F.floor(F.col("line") / 4).alias("ord")).agg(*[line(k).alias(f"l{k}") for k in range(4)])
+    rows = splits.select("file_idx", "f", "b", "first").collect()  # at most MOST_SPLITS
+    sent = spark.sparkContext.broadcast({(r["file_idx"], r["f"], r["b"]): r["first"] for r in rows})
+    whole = lines.mapInArrow(lambda it: _assembled(it, sent.value), _FOUR)
+    # Of the first lines those before a multiple of four, of the last ones those after it.
+    numbered = splits.select("file_idx", "first", "n", F.inline("edge")).withColumn("line", F.col("first") + F.col("at"))
+    begins = F.col("line") - F.col("line") % 4
+    loose = numbered.where((begins < F.col("first")) | (begins + 4 > F.col("first") + F.col("n")))
+    return whole.unionByName(loose.groupBy("file_idx", F.floor(F.col("line") / 4).alias("ord")).agg(*[line(k).alias(f"l{k}") for k in range(4)]))
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All lines of the files: file_idx (place of the path in the arguments), line (from 0), value.
+
+    Within a split lines come in order, so a line's number is its distance from the first of its split plus
+    the lines of the splits before: one row for each split is summed up, nothing is sorted."""
+    lines = _split_lines(spark, paths).withColumn("id", F.monotonically_increasing_id())
     key = ["file_idx", "f", "b"]
     before = Window.partitionBy("file_idx").orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy(*key).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -37,9 +128,8 @@ def read_fastq(spark: SparkSession, paths: str | Sequence[str], strict: bool = T
     strict: a record whose header does not start with @, whose separator does not start with +, or whose bases
     have other characters than A, C, G, T, N and points, or that lacks lines, fails the job; else it is left out. trim drops 3' bases of
     Phred 2 or less. illumina turns Phred+64 qualities into Phred+33. Carriage returns are ignored; no final newline is needed."""
-    lines = numbered_lines(spark, paths)
-    line = lambda k: F.max(F.when(F.col("line") % 4 == k, F.translate("value", "\r", "")))
-    rec = lines.groupBy("file_idx", F.floor(F.col("line") / 4).alias("ord")).agg(*[line(k).alias(f"l{k}") for k in range(4)])
+    rec = _four_lines(spark, paths)
+    rec = rec.select("file_idx", "ord", *[F.translate(f"l{k}", "\r", "").alias(f"l{k}") for k in range(4)])
     rec = rec.where(~((F.col("l0") == "") & F.col("l1").isNull()))  # a blank line at the end
     good = F.coalesce(F.col("l0").startswith("@") & F.col("l2").startswith("+") & F.col("l1").rlike("^[acgtnACGTN.]*$") & F.col("l3").isNotNull(), F.lit(False))
     if strict:

@@ -200,3 +200,114 @@ def test_command_line(spark, tmp_path):
     assert text("sel-check").split("\t")[0] == "AAG" and int(text("sel-check").split("\t")[2]) > 0
     assert text("blocks").count("@Block") == 1 and text("contigs").count(">Block") == 1
     assert text("bed") == "s\t100\t1\t3\t5.0\t3\t7\n"
+
+
+def naive_align(block, bq, read, rq, right):
+    """The alignment cell by cell."""
+    n, m = len(block), len(read)
+    h = [[0] * (m + 1) for _ in range(n + 1)]
+    top, bi, bj = 0, 0, 0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if block[i - 1] == read[j - 1] else -1), h[i - 1][j] - 3, h[i][j - 1] - 3)
+            if h[i][j] >= top:
+                top, bi, bj = h[i][j], i, j
+    i, j = bi, bj
+    out, same, other, gaps = [], 0, 0, 0
+    longer = list(zip(block, bq)) if n > m else list(zip(read, rq))
+    tail = longer[j:] if right else []
+    if not right:
+        gaps = m - j
+    while i and j and h[i][j] > 0:
+        if h[i][j] == h[i - 1][j - 1] + (1 if block[i - 1] == read[j - 1] else -1):
+            i, j = i - 1, j - 1
+            out.append((block[i], bq[i]) if bq[i] > rq[j] else (read[j], rq[j]))
+            same, other = same + (block[i] == read[j]), other + (block[i] != read[j])
+        elif h[i][j] == h[i - 1][j] - 3:
+            i, gaps = i - 1, gaps + 1
+            out += [(block[i], bq[i])] if bq[i] > "5" else []
+        else:
+            j, gaps = j - 1, gaps + 1
+            out += [(read[j], rq[j])] if rq[j] > "5" else []
+    head = [] if right else longer[: i if n > m else j]
+    if right:
+        gaps = abs(i - j)
+    pairs = head + out[::-1] + tail
+    fits = not (same + other and same * 100 / (same + other) < 90) and gaps <= 2
+    return fits, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def naive_fold(rows, k):
+    """All reads one after the other, one map of blocks: key -> [motif, start, end, seq, qual, support, alleles, founder]; and the lost reads."""
+    blocks, lost = {}, []
+    key = lambda s, x: " ".join([x["motif"], s[x["start"] - k : x["start"]], s[x["end"] : x["end"] + k]])
+
+    def take(b, s, q, x):
+        ok, ls, lq = naive_align(b[3][: b[1]], b[4][: b[1]], s[: x["start"]], q[: x["start"]], False)
+        if not ok:
+            return False
+        ok, rs, rq = naive_align(b[3][b[2] :], b[4][b[2] :], s[x["end"] :], q[x["end"] :], True)
+        if not ok:
+            return False
+        b[1], b[2], b[3], b[4] = len(ls), len(ls) + len(x["motif"]), ls + x["motif"] + rs, lq + "!" * len(x["motif"]) + rq
+        b[5] += 1
+        b[6] = b[6] if any(a[0] == x["copies"] for a in b[6]) else [[x["copies"], 0], *b[6]]
+        next(a for a in b[6] if a[0] == x["copies"])[1] += 1
+        return True
+
+    for r in sorted(rows, key=lambda r: (r["file_idx"], r["ord"])):
+        s, q = r["seq"], ((r["qual"] or "") + "!" * len(r["seq"]))[: len(r["seq"])]
+        back, kf = rc(s), key(s, r["fwd"])
+        kr = key(back, r["rc"])
+        if kf in blocks and take(blocks[kf], s, q, r["fwd"]):
+            continue
+        if kr not in blocks:
+            x = r["rc"]
+            blocks[kr] = [x["motif"], x["start"], x["end"], back, q[::-1], 1, [[x["copies"], 1]], (r["file_idx"], r["ord"])]
+        elif not take(blocks[kr], back, q[::-1], r["rc"]):
+            lost.append((r["file_idx"], r["ord"]))
+    return blocks, lost
+
+
+def test_the_fold_equals_reads_one_by_one(spark):
+    """Few keys, so that blocks collide; flanks beyond the keys differ, so that alignments fail; missing qualities."""
+    r = random.Random(21)
+    inner = [(genome(30 + i, 7), genome(40 + i, 7)) for i in range(4)]
+    rows = []
+    for i in range(500):
+        left, right = r.choice(inner)[0], r.choice(inner)[1]
+        if r.random() < 0.2:
+            left = right = inner[0][0]
+        far = genome(r.randrange(3), 30), genome(50 + r.randrange(3), 30)
+        s = far[0][r.randrange(4) :] + left + r.choice(("AC", "AAG", "AGT")) * r.randrange(3, 6) + right + far[1][: 30 - r.randrange(4)]
+        s = "".join(c if r.random() > 0.02 else r.choice("ACGT") for c in s)
+        s = s if i % 2 else rc(s)
+        q = None if i % 17 == 0 else "".join(r.choice("#5I") for _ in range(len(s) - (5 if i % 13 == 0 else 0)))
+        rows.append((i % 3, i, f"r{i}", s, q))
+    picked = select.select_str_reads(spark.createDataFrame(rows, READS), 3, 7)
+    got = picked.collect()
+    want, lost = naive_fold([x.asDict(recursive=True) for x in got], 7)
+    assert len(got) > 300 and lost and max(b[5] for b in want.values()) > 5
+    blocks = {(b["file_idx"], b["ord"]): (b["motif"], b["start"], b["end"], b["seq"], b["qual"], b["support"], [[a["copies"], a["nsupport"]] for a in b["alleles"]]) for b in merge.fold_blocks(picked, 7).collect()}
+    assert blocks == {b[7]: tuple(b[:7]) for b in want.values()}
+    assert sorted((x["file_idx"], x["ord"]) for x in merge.lost_reads(picked, 7).collect()) == sorted(lost)
+    assert sum(b[5] for b in blocks.values()) + len(lost) == len(got)
+
+
+def test_check_lists_sent_and_joined_agree(spark, monkeypatch):
+    from repeatloom.operators import checklist
+
+    rows, left, right = simulate()
+    picked = select.select_str_reads(spark.createDataFrame(rows, READS), 3, 29)
+    one = picked.orderBy("file_idx", "ord").first()
+    m, c, x, y = one["fwd"]["motif"], one["fwd"]["copies"], one["seq"][: one["fwd"]["start"]], one["seq"][one["fwd"]["end"] :]
+    near = x[-20:-5] + "".join("A" if z != "A" else "C" for z in x[-5:])
+    entries = [("e1", m, c, near, y[:20]), ("e2", m, c, x.lower(), y), ("e3", m, c, x, y), ("e4", m, 8, None, None), ("e5", m, c + 9, x, y), ("e7", None, 8, "A", "C")]
+    checks = spark.createDataFrame(entries, "check_id string, motif string, copies int, lflank string, rflank string")
+    sent = sorted(map(tuple, checklist.checklist_matches(picked, checks).collect()))
+    monkeypatch.setattr(checklist, "MOST_SENT", 2)
+    assert sent == sorted(map(tuple, checklist.checklist_matches(picked, checks).collect()))
+    found = {r["check_id"]: r["found"] for r in checklist.checklist_hits(picked, checks).collect()}
+    assert found["e2"] > 0 and found["e1"] == found["e3"] == found["e4"] == found["e5"] == found["e7"] == 0
+    assert sum(found.values()) + checklist.checklist_misses(picked, checks).count() == picked.count()
+    assert checklist.checklist_misses(picked, checks.limit(0)).where("best = 0").count() == picked.count()

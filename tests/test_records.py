@@ -38,3 +38,8 @@ def test_no_rows_long_texts_and_clashing_columns(spark):
     long = "@r\n" + "A" * 300_000 + "\n+\n" + "I" * 300_000
     df = spark.createDataFrame([(1, 0, "reads", long, "x", "y", "z"), (1, 0, "reads", "@" + '"\t"' * 5000 + "\nA\n+\nI", "", "", "")], RAW + ", l string, errors string, f string")
     assert records.valid(df).count() == 2 and records.failed(df).count() == 0
+
+
+def test_control_characters_in_names_stay(spark):
+    df = spark.createDataFrame([(1, 0, "reads", "@a\x01b\x02\nA\n+\nI"), (2, 0, "blocks", '@"b\t\x01"\tAC\t3\t0\t6\nACACAC\n+\nIIIIII')], RAW)
+    assert {r["rec_id"]: r["name"] for r in records.valid(df).collect()} == {1: "a\x01b\x02", 2: '"b\t\x01"'}

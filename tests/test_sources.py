@@ -20,6 +20,23 @@ def test_fastq_files(spark, tmp_path):
     assert tuple(rows[3])[2:] == ("r3 x", "ACG", "III") and rows[50]["name"] == "last" and rows[51]["file_idx"] == 1
 
 
+def test_fastq_beyond_the_splits_that_are_sent(spark, tmp_path, monkeypatch):
+    f = tmp_path / "a.fq"
+    f.write_text("".join(f"@r{i}\nAC{'G' * (i % 7)}\n+\nII{'I' * (i % 7)}\n" for i in range(200)) + "@cut\nAC\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37")
+    try:
+        sent = sorted(map(tuple, fastq.read_fastq(spark, str(f), strict=False).collect()))
+        monkeypatch.setattr(fastq, "MOST_SPLITS", 3)
+        assert sent == sorted(map(tuple, fastq.read_fastq(spark, str(f), strict=False).collect())) and len(sent) == 200
+        with pytest.raises(Exception, match="not a FASTQ record"):
+            fastq.read_fastq(spark, str(f)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "none.fq").write_text("")
+    assert fastq.read_fastq(spark, str(tmp_path / "none.fq")).count() == 0
+
+
 def test_bad_fastq(spark, tmp_path):
     f = tmp_path / "a.fq"
     f.write_text("@a\nAXG\n+\nIII\n@b\nACG\n+\nIII\n")
