@@ -362,7 +362,7 @@ def test_residue_is_found_and_talk_about_it_is_not(spark):
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, covered int, kinds string").repartition(5)
     found = {x["doc_id"]: x for x in residue.residue(df).collect()}
     assert set(found) == {*range(len(CASES)), len(texts) - 1}
-    assert found[0]["kinds"] == ["placeholder"] and found[2]["kinds"] == ["notice"] and found[4]["kinds"] == ["lorem"]
+    assert found[0]["kinds"] == ["placeholder"] and found[2]["kinds"] == ["notice"] and found[4]["kinds"] == ["filler"]
     assert residue.residue(df.limit(0)).count() == 0
 
 
@@ -395,10 +395,69 @@ NO_FORMS = ["Set {{name}} in your template first.", "I think ${HOME} is not expo
 def test_marks_within_a_sentence(spark):
     prose = [f"We counted {i} reads after the third wash, and the {w} looks clean." for i, w in enumerate("left flank,pooled sample,block file,overlap graph".split(",") * 30)]
     df = spark.createDataFrame(list(enumerate(FORMS + NO_FORMS + prose)), "doc_id long, text string")
-    assert {x["doc_id"]: x["kinds"] for x in residue.residue(df).collect()} == {i: ["placeholder"] for i in range(len(FORMS))}
+    kinds = {x["doc_id"]: x["kinds"] for x in residue.residue(df).collect()}
+    assert set(kinds) == set(range(len(FORMS))) and all("placeholder" in k for k in kinds.values())
 
 
 def test_long_posts(spark):
     text = "The left flank drifts on the small machine. " * 5000
     df = spark.createDataFrame([(1, text), (2, text + "{{user_name}} "), (3, "word" * 50_000)], "doc_id long, text string")
     assert [x["doc_id"] for x in residue.residue(df).collect()] == [2]
+
+
+#: Written for this test and nowhere else: residue and prose of other sources than the test tables.
+UNSEEN = """This site can't be reached. The connection was reset.
+Hmm. We're having trouble finding that site.
+Secure connection failed. The page you are trying to view cannot be shown.
+You've reached your limit of free articles. Log in to continue.
+Attention Required! Please complete the security check to access this website.
+The website encountered an unexpected error. Please try again later.
+Briefly unavailable for scheduled maintenance. Check back in a minute.
+Sorry, you have been blocked. You are unable to access this forum.
+Invalid query: unknown column 'post' in field list
+Segmentation fault (core dumped)
+Enter your message here...
+Insert biography here.
+Dear [Customer Name],
+Hello ${user.firstName}, your ticket #{ticket.id} was closed.
+Die Webseite ist nicht erreichbar.
+Es konnte keine Verbindung zum Server hergestellt werden.
+Un problème est survenu. Veuillez actualiser la page.
+Su navegador no es compatible. Actualícelo para continuar.
+Algo salió mal. Vuelve a cargar la página.
+Ваш браузер устарел и не поддерживается.
+アクセスが集中しています。しばらくお待ちください。""".split("\n")
+UNSEEN_PROSE = """I replaced the fan and the server has been quiet since.
+We get a timeout on the second node whenever two jobs start together.
+The database had no backup, which we found out last Friday.
+Ich habe die Seite gestern noch gesehen, heute ist sie weg.
+The error rate is below one percent after trimming.
+Je vais demander l'accès au dossier demain.
+El servidor de la universidad se apaga los domingos.
+Сервер перезагрузили, теперь всё работает.
+サーバーを再起動したら直りました。
+Your answer helped, I had forgotten to enable the filter.
+Dear all, the meeting is moved to Monday.
+Use ${HOME}/data for the input and it will be found.
+The loop prints {name} because of the missing f before the quote.
+Text follows in my next post, I have to leave now.""".split("\n")
+
+
+def test_unseen_residue(spark):
+    df = spark.createDataFrame(list(enumerate(UNSEEN + UNSEEN_PROSE)), "doc_id long, text string")
+    found = {x["doc_id"] for x in residue.residue(df).collect()}
+    hits = sum(i in found for i in range(len(UNSEEN)))
+    assert hits >= 0.7 * len(UNSEEN) and len(found) == hits
+
+
+def test_a_post_is_judged_alike_in_small_and_larger_corpora(spark):
+    words = "left flank,pooled sample,block file,overlap graph,freezer log,count table,wash step".split(",")
+    many = [f"We {v} the {w} on the {m} and {n} it looks {a}." for v in ("plotted", "masked", "halved", "sorted") for w in words for m in ("small machine", "old bench", "second node") for n in ("now", "again") for a in ("clean", "flat", "odd", "short")]
+    judged = [{x["doc_id"] for x in residue.residue(spark.createDataFrame(list(enumerate(CASES + CLEAN + rest)), "doc_id long, text string")).collect()} for rest in (many[::4], many)]
+    assert judged[0] == judged[1] == set(range(len(CASES)))
+
+
+def test_the_sample_of_prose_is_bounded_and_all_posts_are_judged(spark):
+    texts = [f"The {a} of {b} drifts after wash {i}." for i in range(300) for a in ("flank", "lane") for b in ("barley", "wheat")] + CASES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in residue.residue(df, residue.fit(df, posts=200)).collect()} == {i for i, t in enumerate(texts) if t in CASES}
