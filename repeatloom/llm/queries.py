@@ -186,7 +186,7 @@ SQL["p4_runs"] = _P4 + """select file_idx, min(ord) as first_ord, max(ord) as la
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = survivors.survivors(table(spark, d, "fastq_reads"), min_rows=2, consensus=False)
+    found = survivors.survivors(table(spark, d, "fastq_reads"), min_rows=2, consensus=False, disagreement=0.0)
     return found.select(
         F.col("first_id").alias("first_read_id"), F.coalesce("seq_id", F.lit(-1)).alias("seq_read_id"), F.coalesce("qual_id", F.lit(-1)).alias("qual_read_id")
     )
@@ -208,9 +208,10 @@ from g where k > 1 group by t, m
 
 @query
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """One record per template and mate: the bases and qualities that survive, and the voted consensus."""
+    """One record per template and mate: the bases closest to the voted consensus, places left unfilled and places that disagree
+    counted alike, the best qualities, and the consensus."""
     reads = table(spark, d, "fastq_reads")
-    best = survivors.survivors(reads)
+    best = survivors.survivors(reads, disagreement=1.0)
     seqs = reads.select(F.col("read_id").alias("seq_id"), bases(F.col("seq")).alias("seq"))
     quals = reads.select(F.col("read_id").alias("qual_id"), "qual")
     return best.join(seqs, "seq_id", "left").join(quals, "qual_id", "left").select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")

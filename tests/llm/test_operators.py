@@ -461,3 +461,29 @@ def test_the_sample_of_prose_is_bounded_and_all_posts_are_judged(spark):
     texts = [f"The {a} of {b} drifts after wash {i}." for i in range(300) for a in ("flank", "lane") for b in ("barley", "wheat")] + CASES
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {x["doc_id"] for x in residue.residue(df, residue.fit(df, posts=200)).collect()} == {i for i, t in enumerate(texts) if t in CASES}
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_an_outlier_with_a_letter_more_loses_against_rows_that_agree(spark, monkeypatch, hot):
+    monkeypatch.setattr(survivors, "HOT", hot)
+    monkeypatch.setattr(survivors, "FAN_IN", 2)
+    r = random.Random(4)
+    rows, schema = [], "read_id long, name string, seq string, qual string, qual_offset int, loaded_at timestamp"
+    for g in range(30):
+        base = dna(50, r)
+        agree = base[:20] + "N" + base[21:]
+        far = "".join("ACGT"[("ACGT".index(c) + 1) % 4] if k % 5 == 0 else c for k, c in enumerate(base))
+        for i in range(9):
+            rows.append((g * 10 + i, f"t{g}/1", far if i == 4 else agree, "I" * 50, 33, None))
+    df = spark.createDataFrame(rows, schema)
+    by_letters = {x["template"]: x["seq_id"] % 10 for x in survivors.survivors(df).collect()}
+    by_votes = {x["template"]: x["seq_id"] % 10 for x in survivors.survivors(df, disagreement=1.0).collect()}
+    assert set(by_letters.values()) == {4} and set(by_votes.values()) == {0} and len(by_votes) == 30
+    assert survivors.survivors(df.limit(0), disagreement=1.0).count() == 0
+
+
+def test_differences_from_the_votes():
+    profile = survivors.consensus_profile([("ACGT", 3), ("ACTT", 1)])
+    assert survivors.differences(profile, "ACGT") == 0 and abs(survivors.differences(profile, "ACTT") - 2 / 3) < 1e-9
+    assert survivors.differences(profile, "ACGTT") == 1 or survivors.differences(profile, "ACGTT") == 0  # a letter more has no place, or takes an equal one
+    assert survivors.differences(profile, "") == 0 and survivors.differences(np.zeros((0, 4), np.int64), "AC") == 2
