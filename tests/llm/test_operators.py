@@ -487,3 +487,43 @@ def test_differences_from_the_votes():
     assert survivors.differences(profile, "ACGT") == 0 and abs(survivors.differences(profile, "ACTT") - 2 / 3) < 1e-9
     assert survivors.differences(profile, "ACGTT") == 1 or survivors.differences(profile, "ACGTT") == 0  # a letter more has no place, or takes an equal one
     assert survivors.differences(profile, "") == 0 and survivors.differences(np.zeros((0, 4), np.int64), "AC") == 2
+
+
+def test_segmentation_is_pruned_on_identical_events():
+    import time
+
+    began = time.time()
+    assert runs.segments(np.zeros(8191), 2.5).tolist() == [0] and time.time() - began < 0.5
+    assert runs.segments(runs.MedoidCost(["ACGT"] * 500), 2.5).tolist() == [0]
+
+
+def test_medoid_segments_equal_brute_force():
+    r = random.Random(6)
+
+    def cost(part):
+        apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+        return min(sum(apart(m, x) for x in part) for m in part)
+
+    for _ in range(60):
+        texts = [dna(4, r)]
+        for _ in range(r.randrange(2, 9)):
+            k = r.randrange(4)
+            texts.append(texts[-1][:k] + r.choice("ACGT") + texts[-1][k + 1 :] if r.random() < 0.8 else dna(4, r))
+        best = [0.0]
+        for t in range(1, len(texts) + 1):
+            best.append(min(best[s] + cost(texts[s:t]) + 1.5 for s in range(t)))
+        first = runs.segments(runs.MedoidCost(texts), 1.5).tolist()
+        got = sum(cost(texts[a:b]) + 1.5 for a, b in zip(first, [*first[1:], len(texts)], strict=True))
+        assert abs(got - best[-1]) < 1e-9
+
+
+def test_a_drifting_run_is_split_by_its_medoid(spark):
+    """Each event differs from the next one in one place, the last from the first in twelve."""
+    texts = ["".join("C" if k < i else "A" for k in range(12)) for i in range(13)]
+    df = spark.createDataFrame([(1, i, f"e{i}", t, None) for i, t in enumerate(texts)], "entity long, ord long, name string, text string, at timestamp")
+    neighbours = runs.collapse_runs(df, penalty=2.5).collect()
+    medoid = sorted(runs.collapse_runs(df, penalty=2.5, medoid=True).collect(), key=lambda x: x["first_ord"])
+    assert len(neighbours) == 1 and len(medoid) > 2 and sum(x["n_events"] for x in medoid) == 13
+    assert all(a["last_ord"] + 1 == b["first_ord"] for a, b in zip(medoid, medoid[1:], strict=False))
+    same = spark.createDataFrame([(1, i, f"e{i}", "ACGT", None) for i in range(50)], df.schema)
+    assert [x["n_events"] for x in runs.collapse_runs(same, medoid=True, block=8).collect()] == [50]
