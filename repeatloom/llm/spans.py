@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repeatloom.shared import written
 
 #: Letters of a window, and how many of them the first of its two code words holds.
 WINDOW, FIRST = 48, 32
@@ -25,8 +27,12 @@ FAN_IN = 64
 #: Windows of the input for each bucket of the exact pass; a bucket gets those that may repeat.
 PER_BUCKET = 1 << 21
 
-#: Times the usual number of windows from which on a bucket is spread.
-HOT_LOAD = 4
+#: Bins whose windows are counted (8 MB of counts); while there are fewer buckets each is a bin of its own.
+MOST_BINS = 1 << 20
+#: Times the usual number of windows from which on a bin's buckets are spread: of bins that are one bucket, and of those that are several.
+HOT_LOAD, HOT_LOAD_OF_MANY = 4, 1.5
+#: Partitions whose candidates meet in one group; with more of them a bucket is grouped in a tree.
+EXACT_FAN_IN = 1024
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -113,15 +119,15 @@ def _part(node: int, block: int, planes: bytes) -> pa.Table:
     return pa.table({"node": pa.array([node], pa.int32()), "block": pa.array([block], pa.int32()), "planes": pa.array([zlib.compress(planes, 1)], pa.binary())})
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, buckets: int, bins: int) -> Iterator[pa.RecordBatch]:
     """Of each block of counters with any count: two bit planes, at least one and at least two. As block -1 the
-    number of windows by bucket."""
+    number of windows by bin of buckets."""
     from pyspark import TaskContext
 
     node = TaskContext.get().partitionId()
-    count, load = np.zeros((DEPTH, width), np.uint8), np.zeros(buckets, np.int64)
+    count, load = np.zeros((DEPTH, width), np.uint8), np.zeros(bins, np.int64)
     for c in _chunks(batches):
-        load += np.bincount((c.part % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        load += np.bincount((c.part % np.uint64(buckets)).astype(np.int64) % bins, minlength=bins)
         for row in range(DEPTH):
             cells = np.sort(c.cells(row, width))
             first = np.ones(len(cells), bool)
@@ -175,24 +181,26 @@ def _gather(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
-#: kind 0: stretches of candidate windows; 1: of windows known to be shared, for others to meet; 2: answers.
-_ENTRY = "bucket int, kind int, rec_id binary, pos binary, n binary, letters binary"
+#: kind 0: stretches of candidate windows; 1: of windows known to be shared, for others to meet; 2: answers. node: the partition, or the group of partitions.
+_ENTRY = "node int, bucket int, kind int, rec_id binary, pos binary, n binary, letters binary"
 
 
-def _entry(bucket: int, kind: int, ids: np.ndarray, pos: np.ndarray, n: np.ndarray, letters: np.ndarray | None = None) -> pa.RecordBatch:
+def _entry(node: int, bucket: int, kind: int, ids: np.ndarray, pos: np.ndarray, n: np.ndarray, letters: np.ndarray | None = None) -> pa.RecordBatch:
     packed = b""
     if letters is not None:
         four = np.concatenate([letters, np.zeros(-len(letters) % 4, np.uint8)]).reshape(-1, 4)
         packed = (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes()
     binary = {"rec_id": _packed(np.diff(ids, prepend=0)), "pos": _packed(pos), "n": _packed(n), "letters": packed}
-    return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in binary.items()})
+    return pa.RecordBatch.from_pydict({"node": pa.array([node], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in binary.items()})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], width: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], width: int, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows that the sketch says occur twice. Of those in one chunk with the same letters one is
     sent on, as shared if they lie in different records; the others' answer is known here. Windows next to
     each other that go to one bucket are sent as one stretch of letters."""
-    buckets = len(hot)
+    from pyspark import TaskContext
+
+    node = TaskContext.get().partitionId()
     for c in _chunks(batches):
         maybe = np.ones(len(c.hi), bool)
         for r in range(DEPTH):
@@ -211,11 +219,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
         sure = r[start] != r[end]  # records are sorted within a window
         own = (c.part[at] % np.uint64(buckets)).astype(np.int64)
         # A bucket with far too many windows is spread by the windows' own hash.
-        bucket = np.where(hot[own], buckets + ((c.hash[at] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), own)
+        bucket = np.where(hot[own % len(hot)], buckets + ((c.hash[at] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), own)
         known = np.sort(order[np.repeat(sure, end - start + 1)])
         if len(known):
             recs, a, b = _stretches(rec[known], pos[known])
-            yield _entry(int(c.ids[0] % buckets), 2, c.ids[recs], a, b - a + 1)
+            yield _entry(node, int(c.ids[0] % buckets), 2, c.ids[recs], a, b - a + 1)
         # Of a window again and again within one record all places have to be answered.
         lone = order[np.repeat(~sure, end - start + 1)]
         for kind, take in ((0, lone), (1, order[start[sure]])):
@@ -231,21 +239,33 @@ def _candidates(batches: Iterator[pa.RecordBatch], twice: list[np.ndarray], widt
             for x in np.split(by, np.flatnonzero(np.diff(to[first][by])) + 1):
                 f = first[x]
                 letters = c.code[_gather(c.starts[recs[f]] + places[f], n[x] + WINDOW - 1)]
-                yield _entry(int(to[f[0]]), kind, c.ids[recs[f]], places[f], n[x], letters)
+                yield _entry(node, int(to[f[0]]), kind, c.ids[recs[f]], places[f], n[x], letters)
 
 
-_FOUND = "rec_id long, stretch long"
+class _Met(NamedTuple):
+    """The candidate windows of a group in the order of their letters: record and place (-1 for a window known to be shared), codes, whether it
+    is known, where each window's rows start and how many there are, and which windows are shared."""
 
+    rec: np.ndarray
+    pos: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+    known: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    shared: np.ndarray
 
-def _exact(key: tuple, t: pa.Table) -> pa.Table:
+
+def _answers(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rec, at, n = np.cumsum(_unpacked(x["rec_id"])), _unpacked(x["pos"]), _unpacked(x["n"])
+    return rec, at, at + n - 1
+
+
+def _met(rows: list[dict]) -> _Met | None:
     """The candidates of a bucket, grouped by their letters."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     ids, pos, hi, lo, sure = [], [], [], [], []
-    for x in t.to_pylist():
+    for x in rows:
         rec, at, n = np.cumsum(_unpacked(x["rec_id"])), _unpacked(x["pos"]), _unpacked(x["n"])
-        if x["kind"] == 2:
-            out.append((rec, at, at + n - 1))
-            continue
         four = np.frombuffer(x["letters"], np.uint8)
         h, w, _ = _words(np.stack([four >> 6, four >> 4 & 3, four >> 2 & 3, four & 3], axis=1).ravel())
         places = _gather(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n)
@@ -254,21 +274,76 @@ def _exact(key: tuple, t: pa.Table) -> pa.Table:
         sure.append(np.full(len(places), x["kind"] == 1))
         ids.append(np.repeat(rec, n) if x["kind"] == 0 else np.full(len(places), -1))
         pos.append(_gather(at, n))
-    if hi:
-        i, p, h, w, s = map(np.concatenate, (ids, pos, hi, lo, sure))
-        order = np.lexsort((i, w, h))
-        i, p, h, w, s = i[order], p[order], h[order], w[order], s[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(h)))
-        shared = np.logical_or.reduceat(s, start) | (i[start] != i[start + size - 1])
-        hit = np.repeat(shared, size) & ~s
-        i, p = i[hit], p[hit]
-        order = np.lexsort((p, i))
-        out.append(_stretches(i[order], p[order]))
+    if not hi:
+        return None
+    i, p, h, w, s = map(np.concatenate, (ids, pos, hi, lo, sure))
+    order = np.lexsort((i, w, h))
+    i, p, h, w, s = i[order], p[order], h[order], w[order], s[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(h)))
+    return _Met(i, p, h, w, s, start, size, np.logical_or.reduceat(s, start) | (i[start] != i[start + size - 1]))
+
+
+def _told(m: _Met) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of the rows whose windows are shared."""
+    hit = np.repeat(m.shared, m.size) & ~m.known
+    i, p = m.rec[hit], m.pos[hit]
+    order = np.lexsort((p, i))
+    return _stretches(i[order], p[order])
+
+
+def _exact(key: tuple, t: pa.Table) -> pa.Table:
+    """The answers of a bucket."""
+    rows = t.to_pylist()
+    out = [_answers(x) for x in rows if x["kind"] == 2]
+    if m := _met([x for x in rows if x["kind"] != 2]):
+        out.append(_told(m))
+    return _found(out)
+
+
+def _found(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table({"rec_id": pa.array(cols[0].astype(np.int64)), "stretch": pa.array(cols[1].astype(np.int64) << 32 | cols[2].astype(np.int64))})
+    return pa.table({"rec_id": pa.array(cols[0].astype(np.int64)), "first": pa.array(cols[1].astype(np.int64)), "last": pa.array(cols[2].astype(np.int64))})
+
+
+def _known_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from _found([_answers(x) for x in b.to_pylist()]).to_batches()
+
+
+def _sent_on(node: int, bucket: int, kind: int, m: _Met, at: np.ndarray) -> list[pa.RecordBatch]:
+    """These rows as one entry: windows next to each other in a record as a stretch of letters."""
+    if not len(at):
+        return []
+    at = at[np.lexsort((m.pos[at], m.rec[at]))]
+    rec, pos = (m.rec[at], m.pos[at]) if kind == 0 else (np.zeros(len(at), np.int64), 2 * np.arange(len(at)))
+    new = np.ones(len(at), bool)
+    new[1:] = (rec[1:] != rec[:-1]) | (pos[1:] != pos[:-1] + 1)
+    shifts = lambda n: np.uint64(2) * np.arange(n - 1, -1, -1, dtype=np.uint64)
+    letters = np.concatenate([m.hi[at, None] >> shifts(FIRST), m.lo[at, None] >> shifts(WINDOW - FIRST)], axis=1).astype(np.uint8) & 3
+    take = np.zeros(letters.shape, bool)
+    take[new] = True
+    take[:, -1] = True
+    first = np.flatnonzero(new)
+    return [_entry(node, bucket, kind, rec[first], pos[first], np.diff(np.append(first, len(at))), letters[take])]
+
+
+def _reduced(key: tuple, t: pa.Table) -> pa.Table:
+    """The candidates of a bucket from some partitions: answers of what is shared among them, and of every window one row to meet the others."""
+    node, bucket = key[0].as_py(), key[1].as_py()
+    rows, out = t.to_pylist(), []
+    if m := _met(rows):
+        rec, first, last = _told(m)
+        if len(rec):
+            out.append(_entry(node, bucket, 2, rec, first, last - first + 1))
+        out += _sent_on(node, bucket, 1, m, m.start[m.shared])
+        out += _sent_on(node, bucket, 0, m, np.flatnonzero(~np.repeat(m.shared, m.size)))
+    return pa.Table.from_batches(out) if out else t.slice(0, 0).select([x.split()[0] for x in _ENTRY.split(", ")])
+
+
+_FOUND = "rec_id long, first long, last long"
 
 
 def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
@@ -283,9 +358,10 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     has at most DEPTH * max_width bits (16 MB). Beyond that width the sketch lets more windows
     pass, none is lost. Second pass: windows counted twice or more are grouped exactly by their
     letters in buckets. Neighbouring windows mostly go to the same one, so they are sent as a stretch of
-    letters, two bits each; a bucket with more than HOT_LOAD times its share of windows is spread over as
+    letters, two bits each; buckets of a bin with more than HOT_LOAD times its share of windows are spread over as
     many more by the hash of whole windows. A window that many records hold is sent once by each chunk of
-    records, so no bucket grows with it.
+    records; from EXACT_FAN_IN partitions on, a bucket is grouped in a tree, in which every group sends each of its windows on
+    once, so no group holds more rows of one window than that many partitions have chunks.
     """
     spark = records.sparkSession
     rows = records.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("text").alias("text")).where(F.length("text") >= WINDOW)
@@ -294,38 +370,40 @@ def shared_spans(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:
     while width < min(2 * windows, max_width):
         width *= 2
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // PER_BUCKET))
-    merged, nodes = rows.mapInArrow(lambda it: _sketch(it, width, buckets), _PART), rows.rdd.getNumPartitions()
+    bins = min(buckets, MOST_BINS)
+    nodes = rows.rdd.getNumPartitions()
+    merged, left = rows.mapInArrow(lambda it: _sketch(it, width, buckets, bins), _PART), nodes
     while True:
         merged = merged.groupBy(F.floor(F.col("node") / FAN_IN).cast("int").alias("up"), "block").applyInArrow(_merge_blocks, _PART)
-        nodes = -(-nodes // FAN_IN)
-        if nodes <= 1:
+        left = -(-left // FAN_IN)
+        if left <= 1:
             break
     step = min(BLOCK, width)
-    twice, load = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)], np.zeros(buckets, np.int64)
-    for x in merged.collect():  # two bits a counter at most, and a number for each bucket
+    twice, load = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)], np.zeros(bins, np.int64)
+    for x in merged.toLocalIterator():  # two bits a counter at most, and MOST_BINS numbers
         if x["block"] < 0:
             load = np.frombuffer(zlib.decompress(x["planes"]), np.int64)
             continue
         row, k = divmod(x["block"], width // step)
         twice[row][k * step // 8 : (k + 1) * step // 8] = np.frombuffer(zlib.decompress(x["planes"]), np.uint8).reshape(2, -1)[1]
-    sent = spark.sparkContext.broadcast((twice, load > HOT_LOAD * max(1, windows) / buckets))
-    entries = rows.mapInArrow(lambda it: _candidates(it, sent.value[0], width, sent.value[1]), _ENTRY)
+    sent = spark.sparkContext.broadcast((twice, load > (HOT_LOAD if bins == buckets else HOT_LOAD_OF_MANY) * max(1, windows) / bins))
+    entries = rows.mapInArrow(lambda it: _candidates(it, *sent.value[:1], width, sent.value[1], buckets), _ENTRY)
+    answers = []
+    while nodes > EXACT_FAN_IN:
+        entries = written(entries, "candidates")
+        answers.append(entries.where("kind = 2").mapInArrow(_known_answers, _FOUND))
+        entries = entries.where("kind < 2").groupBy(F.floor(F.col("node") / EXACT_FAN_IN).cast("int").alias("up"), "bucket").applyInArrow(_reduced, _ENTRY)
+        nodes = -(-nodes // EXACT_FAN_IN)
     found = entries.groupBy("bucket").applyInArrow(_exact, _FOUND)
-    stretches = F.sort_array(F.collect_list("stretch"))  # as many as the record has windows, at most
-    unpack = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("last"))
-    spans = found.groupBy("rec_id").agg(F.transform(stretches, unpack).alias("w"))
-    joined = F.aggregate(
-        "w",
-        F.array().cast("array<struct<span_start:int,span_end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["span_end"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["span_start"].alias("span_start"), F.greatest(F.element_at(acc, -1)["span_end"], x["last"] + WINDOW).alias("span_end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["first"].alias("span_start"), (x["last"] + WINDOW).alias("span_end"))))),
-    )
-    return spans.select("rec_id", F.inline(joined))
+    for more in answers:
+        found = found.unionByName(more)
+    # Stretches that overlap or touch are one: islands in the order of their beginnings.
+    order = Window.partitionBy("rec_id").orderBy("first", "last")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.when(F.col("first") > F.max("last").over(before) + WINDOW, 1).otherwise(0)
+    islands = found.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("rec_id", "island").agg(F.min("first").cast("int").alias("span_start"), (F.max("last") + WINDOW).cast("int").alias("span_end"))
+    return spans.select("rec_id", "span_start", "span_end")
 
 
 def shared_extent(records: DataFrame, max_width: int = MAX_WIDTH) -> DataFrame:

@@ -527,3 +527,47 @@ def test_a_drifting_run_is_split_by_its_medoid(spark):
     assert all(a["last_ord"] + 1 == b["first_ord"] for a, b in zip(medoid, medoid[1:], strict=False))
     same = spark.createDataFrame([(1, i, f"e{i}", "ACGT", None) for i in range(50)], df.schema)
     assert [x["n_events"] for x in runs.collapse_runs(same, medoid=True, block=8).collect()] == [50]
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_a_window_in_all_records_makes_no_large_group(spark, monkeypatch, parts):
+    """Tiny chunks, a tree of groups: every group sees few rows of the window that all records hold, and the spans stay exact."""
+    monkeypatch.setattr(spans, "CHUNK_LETTERS", 400)
+    monkeypatch.setattr(spans, "EXACT_FAN_IN", 4)
+    r = random.Random(12)
+    adapter, twin = dna(60, r), dna(70, r)
+    rows = []
+    for i in range(240):
+        body = dna(r.randrange(0, 40), r) + adapter + dna(r.randrange(0, 40), r)
+        rows.append((i, body + (twin if i in (3, 200) else "")))
+    df = spark.createDataFrame(rows, "rec_id long, text string").repartition(parts)
+    seen_in: dict[str, set[int]] = {}
+    for i, t in rows:
+        for k in range(len(t) - 47):
+            seen_in.setdefault(t[k : k + 48], set()).add(i)
+    want = set()
+    for i, t in rows:
+        hits = [k for k in range(len(t) - 47) if len(seen_in[t[k : k + 48]]) > 1]
+        at = 0
+        while at < len(hits):
+            end = at
+            while end + 1 < len(hits) and hits[end + 1] <= hits[end] + 48:
+                end += 1
+            want.add((i, hits[at], hits[end] + 48))
+            at = end + 1
+    assert {tuple(x) for x in spans.shared_spans(df).collect()} == want
+
+
+def test_reduced_candidates_send_each_window_on_once():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    text = dna(80, r)
+    code = np.array(["ACGT".index(c) for c in text], np.uint8)
+    one = lambda node, rec, at, n: spans._entry(node, 7, 0, np.array([rec]), np.array([at]), np.array([n]), code[at : at + n + 47])
+    t = pa.Table.from_batches([one(k, 10 + k, 5, 9) for k in range(50)] + [one(60, 99, 20, 3)])
+    out = spans._reduced((pa.scalar(0), pa.scalar(7)), t)
+    kinds = dict(zip(*np.unique(out["kind"].to_numpy(), return_counts=True), strict=True))
+    assert kinds == {0: 1, 1: 1, 2: 1}
+    again = spans._met(out.filter(pa.compute.less(out["kind"], 2)).to_pylist())
+    assert len(again.start) == 12 and again.shared.sum() == 9  # nine windows that fifty records hold, three of one record
