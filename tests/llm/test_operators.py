@@ -571,3 +571,28 @@ def test_reduced_candidates_send_each_window_on_once():
     assert kinds == {0: 1, 1: 1, 2: 1}
     again = spans._met(out.filter(pa.compute.less(out["kind"], 2)).to_pylist())
     assert len(again.start) == 12 and again.shared.sum() == 9  # nine windows that fifty records hold, three of one record
+
+
+def test_a_ledger_lives_on_and_a_batch_counts_once(spark, tmp_path, monkeypatch):
+    path, schema = "file://" + str(tmp_path / "ledger"), "kind string, key string, row_id long, arrival long"
+    batch = lambda first, keys: spark.createDataFrame([("k", x, first + i, i) for i, x in enumerate(keys)], schema)
+    told = lambda df: {r["row_id"]: r["seen"] for r in df.collect()}
+    ledger = seen.KeyLedger(spark, buckets=4, path=path).load(spark.createDataFrame([("k", "old")], "kind string, key string"))
+    one = batch(0, ["a", "old", "a", "b"])
+    want = {0: False, 1: True, 2: True, 3: False}
+    assert told(ledger.process(one, "one")) == want == told(ledger.process(one, "one"))
+    n = ledger.keys().count()
+    other = seen.KeyLedger(spark.newSession(), path=path)  # another session
+    other.load(spark.createDataFrame([("k", "old")], "kind string, key string"))
+    assert other.buckets == 4 and other.keys().count() == n == 3
+    assert told(other.process(one, "one")) == want and other.keys().count() == n
+    assert told(other.process(batch(10, ["b", "c", "c"]), "two")) == {10: True, 11: False, 12: True}
+    monkeypatch.setattr(seen, "KEYS_PER_BUCKET", 1)
+    before = sorted(map(tuple, other.keys().collect()), key=str)
+    other.compact()
+    assert sorted(map(tuple, other.keys().collect()), key=str) == before and other.buckets == 4
+    monkeypatch.setattr(seen, "COMPACT_AFTER", 1)
+    for i, x in enumerate("defgh"):
+        assert told(other.process(batch(20 + 2 * i, [x, "a"]), x)) == {20 + 2 * i: False, 21 + 2 * i: True}
+    third = seen.KeyLedger(spark, path=path)
+    assert third.buckets == other.buckets == 8 and third.keys().count() == 9 and len(list((tmp_path / "ledger").iterdir())) == 1
