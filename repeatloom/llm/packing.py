@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from repeatloom.shared import written
 
-#: Items of a block, and the most blocks there are; within a block a length's items are numbered in one sorted run.
-BLOCK, MAX_BLOCKS = 65_536, 4096
+#: Items of a block, about; within a block the items of one size are numbered in one sorted run.
+BLOCK = 65_536
 
 
 class Plan:
@@ -36,29 +36,63 @@ class Plan:
         self.containers += n
 
 
-def _pair(have: np.ndarray, total: int, top: int) -> tuple[int, int] | None:
-    """Two available lengths with this sum, the larger at most top; the largest one possible."""
-    big = np.arange(min(top, total - 1), (total - 1) // 2, -1)
-    small = total - big
-    fits = np.flatnonzero((have[big] > 0) & (have[small] > (big == small)))
-    return (int(big[fits[0]]), int(small[fits[0]])) if len(fits) else None
+class SumIndex:
+    """Single lengths, pairs and triples by their sums, under the counts that are left. Counts only go down, so what a sum has found used up
+    is never looked at again: each sum keeps the place from which on its pairs, or triples, may still be there."""
 
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.pairs: dict[int, int] = {}  # sum: largest member that may still be there
+        self.triples: dict[int, int] = {}
 
-def _complement(have: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill a gap exactly."""
-    if gap <= top and have[gap] > 0:
-        return (gap,)
-    if two := _pair(have, gap, top):
+    def pair(self, total: int, top: int) -> tuple[int, int] | None:
+        """Two available lengths with this sum, the larger at most top; the largest one possible."""
+        have, start = self.have, self.pairs.get(total, total - 1)
+        at = min(start, top, len(have) - 1)
+        low = (total + 1) // 2
+        while at >= low:
+            big = np.arange(at, max(low, at - 255) - 1, -1)
+            small = total - big
+            fits = np.flatnonzero((have[big] > 0) & (have[small] > (big == small)))
+            if len(fits):
+                at = int(big[fits[0]])
+                break
+            at = int(big[-1]) - 1
+        if start <= top:
+            self.pairs[total] = at
+        return (at, total - at) if at >= low else None
+
+    def complement(self, gap: int, top: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths, none above top, that fill a gap exactly."""
+        have = self.have
+        if gap <= top and have[gap] > 0:
+            return (gap,)
+        if two := self.pair(gap, top):
+            return two
+        start = self.triples.get(gap, gap - 2)
+        x, found = min(start, top, gap - 2), None
+        while 3 * x >= gap and not found:
+            if have[x] > 0:
+                have[x] -= 1
+                two = self.pair_under(gap - x, x)
+                have[x] += 1
+                if two:
+                    found = (x, *two)
+                    break
+            x -= 1
+        if start <= top:
+            self.triples[gap] = x
+        return found
+
+    def pair_under(self, total: int, top: int) -> tuple[int, int] | None:
+        """pair, while one item of a length is taken out for a moment: what is missing now may be there again, so nothing is noted."""
+        noted = self.pairs.get(total)
+        two = self.pair(total, top)
+        if noted is None:
+            self.pairs.pop(total, None)
+        else:
+            self.pairs[total] = noted
         return two
-    for x in np.flatnonzero(have[: min(top, gap - 2) + 1] > 0)[::-1]:
-        if 3 * x < gap:
-            break
-        have[x] -= 1
-        two = _pair(have, gap - int(x), min(top, int(x)))
-        have[x] += 1
-        if two:
-            return (int(x), *two)
-    return None
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
@@ -72,13 +106,13 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
-    plan = Plan()
+    plan, index = Plan(), SumIndex(have)
     plan.add((capacity,), int(have[capacity])) if have[capacity] else None
     rest: dict[int, int] = {}
     for a in range(capacity - 1, 0, -1):
         while have[a] > 0:
             have[a] -= 1
-            found = _complement(have, capacity - a, a)
+            found = index.complement(capacity - a, a)
             have[a] += 1
             if not found:
                 rest[a], have[a] = int(have[a]), 0
@@ -123,69 +157,116 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pieces(items: DataFrame, capacity: int) -> DataFrame:
-    """item_id, size as item_id, piece, length: items larger than the capacity in pieces of the
-    capacity and a rest; others whole; a null size counts as 0, a length of 0 takes no space."""
-    n = F.coalesce(F.col("size"), F.lit(0)).cast("long")
-    return items.select("item_id", n.alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0).cast("long"), F.floor((n - 1) / capacity)).cast("int"))).alias("piece")).select(
-        "item_id", "piece", F.least(F.col("size") - F.col("piece").cast("long") * capacity, F.lit(capacity).cast("long")).cast("int").alias("length")
-    )
+_PLACED = "item_id long, piece int, length int, container_no long, fill int"
 
 
-_PLACED = "item_id long, piece int, length int, container_no long, fill int"
+class Kind:
+    """One kind of container: the plan by length, and where the pieces of items above the capacity stand among the items of their length.
+
+    An item is known by its size and its rank among those of its size. Of a size above the capacity each item has the same number of whole pieces and the
+    same rest, so the ranks of pieces follow from the counts by size: whole items of a length come first, then the pieces of each larger size in turn."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        large = np.array(sorted(x for x in counts if x > capacity), np.int64)
+        n = np.array([counts[x] for x in large.tolist()], np.int64)
+        self.large, self.whole = large, (large - 1) // capacity
+        rest = large - self.whole * capacity
+        by_length = {x: c for x, c in counts.items() if 0 < x <= capacity}
+        self.first_whole = by_length.get(capacity, 0) + np.cumsum(self.whole * n) - self.whole * n
+        if len(large):
+            by_length[capacity] = by_length.get(capacity, 0) + int((self.whole * n).sum())
+        self.first_rest = np.zeros(len(large), np.int64)
+        for i, (r, c) in enumerate(zip(rest.tolist(), n.tolist(), strict=True)):
+            self.first_rest[i] = by_length.get(r, 0)
+            by_length[r] = by_length.get(r, 0) + c
+        self.plan = plan = plan_packing(by_length, capacity)
+        length, first, _, base = (np.array(x, np.int64) for x in zip(*plan.slots, strict=True)) if plan.slots else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((first, length))
+        self.key, self.shift = (length[order] << 44) + first[order], (base - first)[order]
+        self.bases, self.fills = (np.array([f[k] for f in plan.fills], np.int64) for k in (0, 2))
+
+    def pieces(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, piece, length and rank among that length of every piece of some items."""
+        row, piece, length, at = np.arange(len(size)), np.zeros(len(size), np.int64), size.copy(), rank.copy()
+        big = np.flatnonzero(size > self.capacity)
+        if len(big):
+            k = np.searchsorted(self.large, size[big])
+            whole = self.whole[k]
+            owner = np.repeat(np.arange(len(big)), whole)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+            piece[big], length[big], at[big] = whole, size[big] - whole * self.capacity, self.first_rest[k] + rank[big]  # the rest
+            row = np.concatenate([row, big[owner]])
+            piece = np.concatenate([piece, number])
+            length = np.concatenate([length, np.full(len(owner), self.capacity)])
+            at = np.concatenate([at, self.first_whole[k][owner] + rank[big][owner] * whole[owner] + number])
+        return row, piece, length, at
+
+    def places(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Container and its fill of every piece; pieces of length 0 are spread over all containers."""
+        if not len(self.key):
+            return np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        no = rank + self.shift[np.maximum(np.searchsorted(self.key, (length << 44) + rank, side="right") - 1, 0)]
+        no = np.where(length == 0, rank % max(1, self.plan.containers), no)
+        return no, self.fills[np.maximum(np.searchsorted(self.bases, no, side="right") - 1, 0)]
+
+
+def _ranked(items: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """item_id, size and rank among the items of that size (from 0), and the counts by size: as many rows as there are different sizes."""
+    n = F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long"))
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.greatest(n, F.lit(0).cast("long")).alias("size"))
+    own = written(own, "sizes")
+    own = own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(_blocks(own))).cast("int"))
+    # The first rank of each block within each size: blocks x sizes rows, far fewer than items.
+    w = Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(own.groupBy("size", "block").count().withColumn("offset", F.coalesce(F.sum("count").over(w), F.lit(0))), "offsets")
+    counts = {r["size"]: r["n"] for r in offsets.groupBy("size").agg(F.sum("count").alias("n")).collect()}
+    within = Window.partitionBy("size", "block").orderBy("item_id")  # a sorted run, never held whole
+    ranked = own.withColumn("r", F.row_number().over(within)).join(offsets.select("size", "block", "offset"), ["size", "block"])
+    return ranked.select("item_id", "size", (F.col("offset") + F.col("r") - 1).alias("rank")), counts
+
+
+def _placed(ranked: DataFrame, kinds: list[tuple[int, Kind]]) -> DataFrame:
+    """All pieces of all items in each kind, by the plans that every task gets."""
+    sent = ranked.sparkSession.sparkContext.broadcast(kinds)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            item, size, rank = b["item_id"], b["size"].to_numpy().astype(np.int64), b["rank"].to_numpy().astype(np.int64)
+            for number, kind in sent.value:
+                row, piece, length, at = kind.pieces(size, rank)
+                no, fill = kind.places(length, at)
+                same = lambda x: pa.array(np.full(len(row), x, np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [same(number), same(kind.capacity), item.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(no), pa.array(fill.astype(np.int32))],
+                    names=["container_id", "capacity", "item_id", "piece", "length", "container_no", "fill"],
+                )
+
+    return ranked.mapInArrow(place, "container_id int, capacity int, " + _PLACED)
 
 
 def pack(items: DataFrame, capacity: int) -> tuple[DataFrame, Plan]:
     """Every item's container: item_id, piece, length, container_no (from 0), fill (of that container).
 
-    items: item_id (unique), size. Only the counts by length come to the driver: at most capacity
-    rows, whatever the number of items. The plan made of them, as long as there are lengths, is
-    broadcast; items are numbered within their length by block counts, so a length that many items
+    items: item_id (unique), size; items larger than the capacity come in pieces of the capacity and a rest; a null or negative size counts as 0. Only the
+    counts by size come to the driver, whatever the number of items. The plan made of them, as long as there are lengths, is
+    broadcast; items are numbered within their size by block counts, so a size that many items
     share is never in one task. Items of length 0 are spread over the containers; if there is none, they are in
     container 0 of fill 0. No items give no rows.
     """
-    spark = items.sparkSession
-    own = pieces(items, capacity).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(_blocks(items))).cast("int"))
-    own = written(own, "pieces")
-    counted = own.groupBy("length", "block").count()
-    # The first rank of each block within each length: blocks x lengths rows, far fewer than items.
-    w = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(counted.withColumn("offset", F.coalesce(F.sum("count").over(w), F.lit(0))), "offsets")
-    counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity + 1 rows
-    plan = plan_packing({k: n for k, n in counts.items() if k}, capacity)
-    length, first, n, base = (np.array(x, np.int64) for x in zip(*plan.slots, strict=True)) if plan.slots else [np.zeros(0, np.int64)] * 4
-    order = np.lexsort((first, length))
-    key = (length[order] << 44) + first[order]
-    sent = spark.sparkContext.broadcast((key, (base - first)[order], np.array([f[0] for f in plan.fills], np.int64), np.array([f[2] for f in plan.fills], np.int64), plan.containers))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shift, bases, fills, containers = sent.value
-        for b in batches:
-            length, rank = b["length"].to_numpy().astype(np.int64), b["rank"].to_numpy()
-            if len(key):
-                no = rank + shift[np.maximum(np.searchsorted(key, (length << 44) + rank, side="right") - 1, 0)]
-                no = np.where(length == 0, rank % max(1, containers), no)
-                fill = fills[np.maximum(np.searchsorted(bases, no, side="right") - 1, 0)]
-            else:
-                no = fill = np.zeros(len(rank), np.int64)
-            yield pa.RecordBatch.from_arrays([b["item_id"], b["piece"], b["length"], pa.array(no), pa.array(fill.astype(np.int32))], names=["item_id", "piece", "length", "container_no", "fill"])
-
-    within = Window.partitionBy("length", "block").orderBy("item_id", "piece")  # a sorted run, never held whole
-    ranked = own.withColumn("r", F.row_number().over(within)).join(offsets.select("length", "block", "offset"), ["length", "block"])
-    placed = ranked.select("item_id", "piece", "length", (F.col("offset") + F.col("r") - 1).alias("rank")).mapInArrow(place, _PLACED)
-    return placed, plan
+    ranked, counts = _ranked(items)
+    kind = Kind(counts, capacity)
+    return _placed(ranked, [(0, kind)]).drop("container_id", "capacity"), kind.plan
 
 
 def _blocks(items: DataFrame) -> int:
-    return min(MAX_BLOCKS, max(1, -(-items.count() // BLOCK)))
+    return max(1, -(-items.count() // BLOCK))
 
 
 def pack_kinds(items: DataFrame, kinds: DataFrame) -> DataFrame:
     """All items into containers of each kind. kinds: container_id, capacity, a short list of kinds. Gives container_id,
-    item_id, piece, length, container_no, capacity, fill. Kinds of null or no capacity hold nothing."""
-    items = written(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("size").cast("long").alias("size")), "sizes")
-    out = items.sparkSession.createDataFrame([], "container_id int, capacity int, " + _PLACED)
-    for kind in kinds.select("container_id", "capacity").where("capacity >= 1").distinct().orderBy("container_id").collect():
-        placed, _ = pack(items, kind["capacity"])
-        out = out.unionByName(placed.select(F.lit(kind["container_id"]).alias("container_id"), F.lit(kind["capacity"]).alias("capacity"), "*"))
-    return out
+    item_id, piece, length, container_no, capacity, fill. Kinds of null or no capacity hold nothing. Items are counted and
+    numbered once for all kinds."""
+    ranked, counts = _ranked(items)
+    listed = kinds.select("container_id", "capacity").where("capacity >= 1").distinct().orderBy("container_id").collect()
+    return _placed(ranked, [(k["container_id"], Kind(counts, k["capacity"])) for k in listed]).select("container_id", "capacity", *[x.split()[0] for x in _PLACED.split(", ")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import bases, strand_neutral
 from repeatloom.llm import frequent, packing, residue, runs, seen, spans, survivors, tokens
+from repeatloom.shared import written
 from repeatloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,22 @@ def p1_frequent(spark: SparkSession, d: str) -> DataFrame:
     return frequent.misra_gries(_items(spark, d), 1000)
 
 
+@query
+def p1_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The summary held against exact counts of all values: how many true counts lie outside its bounds, and how many frequent values it lacks."""
+    items = _items(spark, d).where("item is not null and item != '' and weight >= 1")
+    exact = items.groupBy("field", "item").agg(F.sum("weight").alias("weight"))
+    told = frequent.misra_gries(items, 1000)
+    total = exact.groupBy("field").agg((F.sum("weight") / 1001).alias("most"))  # one row a field
+    both = exact.join(told, ["field", "item"], "full").join(F.broadcast(total), "field")
+    wrong = F.col("approx_count").isNotNull() & ~F.coalesce(F.col("weight").between(F.col("approx_count"), F.col("approx_count") + F.col("max_error")), F.lit(False))
+    missing = F.col("approx_count").isNull() & (F.col("weight") > F.col("most"))
+    return both.groupBy("field").agg(F.sum(wrong.cast("long")).alias("n_wrong"), F.sum(missing.cast("long")).alias("n_missing"))
+
+
+SQL["p1_bounds"] = "select field, 0::bigint as n_wrong, 0::bigint as n_missing from (values ('seq'), ('kmer')) t(field)"
+
+
 # 2. Long exact spans shared between records
 
 
@@ -217,6 +234,17 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return best.join(seqs, "seq_id", "left").join(quals, "qual_id", "left").select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")
 
 
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of p5_survivors with what does not depend on the consensus."""
+    best = survivors.survivors(table(spark, d, "fastq_reads"), disagreement=1.0)
+    return best.select("template", "mate", "n", "first_id", "qual_id", F.col("seq_id").isNotNull().alias("has_bases"))
+
+
+SQL["p5_groups"] = SQL["p5_found"].partition("select any_value(f)")[0] + """select t as template, m as mate, count(*) as n, any_value(f) as first_id,
+max(read_id) filter (rq = 1 and v is not null) as qual_id, coalesce(max(n), 0) > 0 as has_bases from g group by t, m"""
+
+
 # 7. Encoding of the whole corpus
 
 
@@ -254,6 +282,27 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.withColumns({"least": F.ceil(F.col("tokens") / F.col("capacity")), "unused": 1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity"))})
 
 
+@query
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing of each kind keeps its rules: every post once and whole, in pieces only above the capacity; fills that are the sums of
+    their pieces and within the capacity; at most one in a hundred containers, and one, more than the tokens need."""
+    sizes = written(tokens.count(table(spark, d, "documents")), "tokens")
+    placed = written(packing.pack_kinds(sizes.select(F.col("doc_id").alias("item_id"), F.col("n_tokens").alias("size")), table(spark, d, "containers")), "placed")
+    key = ["container_id", "capacity"]
+    posts = placed.groupBy(*key, "item_id").agg(F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces")).join(sizes.withColumnRenamed("doc_id", "item_id"), "item_id")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity")))
+    whole = posts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_docs"), F.min((F.col("tokens") == F.col("n_tokens")) & (F.col("n") == needed) & (F.col("pieces") == needed)).alias("whole"))
+    boxes = placed.groupBy(*key, "container_no").agg(F.sum("length").alias("tokens"), F.min("fill").alias("a"), F.max("fill").alias("b"))
+    full = boxes.groupBy(*key).agg(
+        F.min((F.col("tokens") == F.col("a")) & (F.col("tokens") == F.col("b")) & (F.col("tokens") <= F.col("capacity"))).alias("within"),
+        (F.count(F.lit(1)) <= F.ceil(F.sum("tokens") / F.first("capacity")) * 1.01 + 1).alias("few"),
+    )
+    return whole.join(full, key)
+
+
+SQL["p8_valid"] = """select container_id, capacity, (select count(*) from documents) as n_docs, true as whole, true as within, true as few from containers"""
+
+
 # 9. Template residue and error-page text
 
 
@@ -267,3 +316,16 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     """The rest of the corpus."""
     documents = table(spark, d, "documents")
     return documents.join(residue.residue(documents).select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
+
+
+@query
+def p9_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether found posts and the clean corpus together are all posts, each once."""
+    documents = table(spark, d, "documents")
+    found = written(residue.residue(documents).select("doc_id"), "found")
+    clean = documents.join(found, "doc_id", "left_anti").select("doc_id")
+    both = found.unionByName(clean).agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("doc_id").alias("n"))
+    return both.select("n_docs", (F.col("n_docs") == F.col("n")).alias("each_once"))
+
+
+SQL["p9_parts"] = "select count(*) as n_docs, true as each_once from documents"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,63 @@ def _tokenizer(path: str):
     return t
 
 
+#: Fixed value: how byte-level vocabularies split a text into the pieces that are encoded by themselves.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """Vocabulary files spell each byte as one letter: printable ones as themselves, the others in turn from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Encoder:
+    """A byte-level vocabulary file: the bytes of every id, ids of texts, and where their pieces begin."""
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if not any(i == a["id"] for a in file["added_tokens"])}
+        self.bytes = [b""] * (max([*ranks.values(), *(a["id"] for a in file["added_tokens"])]) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        for a in file["added_tokens"]:
+            self.bytes[a["id"]] = a["content"].encode()
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.pattern = regex.compile(PATTERN)
+        self.encoding = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), np.int32)
+
+    def node(self, start: int, text: str) -> Node:
+        """The text as a node that begins at start."""
+        ids = self.ids(text)
+        places = np.array([m.start() for m in self.pattern.finditer(text)], np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        size = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        at = np.cumsum(size) - size  # bytes before each letter
+        begin = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+        return Node(start, start + len(text), ids, start + places, np.searchsorted(begin, at[places]))
+
+    def text(self, ids: np.ndarray, leaf: int = 256) -> bytes:
+        """Bytes of ids, up the tree: those of a leaf put together, those of a node its halves' one after the other."""
+        if len(ids) <= leaf:
+            return b"".join([self.bytes[i] for i in ids.tolist() if 0 <= i < len(self.bytes)])
+        half = len(ids) // 2
+        return self.text(ids[:half], leaf) + self.text(ids[half:], leaf)
+
+
+@lru_cache(4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 class Node(NamedTuple):
     """A stretch of text: its ids as a text of its own, where its pieces start (places in the whole
     text), and which id each piece starts with."""
@@ -41,19 +99,7 @@ class Node(NamedTuple):
     firsts: np.ndarray
 
 
-def _node(start: int, text: str, encoding) -> Node:
-    words = np.array(encoding.word_ids, np.int64)
-    first = np.flatnonzero(np.diff(words, prepend=-1)) if len(words) else words
-    offsets = encoding.offsets
-    return Node(start, start + len(text), np.array(encoding.ids, np.int32), np.array([start + offsets[i][0] for i in first], np.int64), first)
-
-
-def _encode(tokenizer, text: str, start: int, end: int) -> Node:
-    own = text[start:end]
-    return _node(start, own, tokenizer.encode(own, add_special_tokens=False))
-
-
-def join(tokenizer, text: str, left: Node, right: Node, reach: int = REACH) -> Node:
+def join(tokens: Encoder, text: str, left: Node, right: Node, reach: int = REACH) -> Node:
     """The node of two neighbours, equal to encoding their text at once.
 
     The splitting pattern reads from left to right and forgets what lies behind it. So pieces of
@@ -70,7 +116,7 @@ def join(tokenizer, text: str, left: Node, right: Node, reach: int = REACH) -> N
     start = int(left.pieces[keep])
     while True:
         end = min(right.end, right.start + reach)
-        window = _encode(tokenizer, text, start, end)
+        window = tokens.node(start, text[start:end])
         if end == right.end:
             at, to = len(window.pieces), len(right.pieces)
             break
@@ -101,27 +147,17 @@ def _leaves(start: int, end: int, leaf: int) -> list[tuple[int, int]]:
     return _leaves(start, half, leaf) + _leaves(half, end, leaf)
 
 
-def _tree(tokenizer, text: str, start: int, end: int, nodes: Iterator[Node], leaf: int) -> Node:
+def _tree(tokens: Encoder, text: str, start: int, end: int, leaf: int) -> Node:
     if end - start <= leaf:
-        return next(nodes)
+        return tokens.node(start, text[start:end])
     half = (start + end) // 2
-    left = _tree(tokenizer, text, start, half, nodes, leaf)
-    return join(tokenizer, text, left, _tree(tokenizer, text, half, end, nodes, leaf))
+    return join(tokens, text, _tree(tokens, text, start, half, leaf), _tree(tokens, text, half, end, leaf))
 
 
 def encode_texts(texts: list[str | None], path: str = VOCABULARY, leaf: int = LEAF) -> list[np.ndarray]:
-    """Ids of each text; null and empty texts have none. All leaves are encoded in one batch."""
-    t = _tokenizer(path)
-    spans = [_leaves(0, len(x), leaf) if x else [] for x in texts]
-    encodings = iter(t.encode_batch([x[a:b] for x, s in zip(texts, spans, strict=True) for a, b in s], add_special_tokens=False))
-    out = []
-    for x, s in zip(texts, spans, strict=True):
-        if len(s) < 2:
-            out.append(np.array(next(encodings).ids if s else [], np.int32))
-        else:
-            nodes = iter([_node(a, x[a:b], next(encodings)) for a, b in s])
-            out.append(_tree(t, x, 0, len(x), nodes, leaf).ids)
-    return out
+    """Ids of each text; null and empty texts have none. A text that is one leaf needs no places of its pieces."""
+    t = encoder(path)
+    return [np.zeros(0, np.int32) if not x else t.ids(x) if len(x) <= leaf else _tree(t, x, 0, len(x), leaf).ids for x in texts]
 
 
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -155,12 +191,13 @@ def count(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and ids as doc_id and text; null ids give null, no ids the empty text. Tokens are bytes, so the
-    text of a node is the concatenation of its parts'; ids that end within a letter give replacement letters there."""
+    bytes of a node are its halves' one after the other, and become a text at the root; ids that end within a letter give replacement
+    letters there, and ids that the vocabulary has not give nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = encoder(path)
         for b in batches:
-            ids = b["ids"].to_pylist()
-            texts = iter(_tokenizer(path).decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([None if x is None else next(texts) for x in ids], pa.string())], names=["doc_id", "text"])
+            ids = [None if x is None else np.array([i for i in x if i is not None], np.int64) for x in b["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([None if x is None else t.text(x).decode("utf-8", "replace") for x in ids], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
