@@ -1,15 +1,24 @@
-"""Extending blocks along the k-mer graph: anchors, walks by pointer doubling, contigs."""
+"""Extending blocks along the k-mer graph: anchors, walks, contigs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import canonical, revcomp, solid_letters
 from repeatloom.operators.kmers import contexts, count_kmers, odd, solid, windows
-from repeatloom.shared import written
+from repeatloom.operators.letters import kmer_codes
+from repeatloom.shared import spread, written
 
 MAX_STEPS = 1024
+#: Most solid k-mers that are sent to all tasks (64 MB); walks in a larger graph use joins.
+MOST_SENT = 8_000_000
+#: Walks taken at once by a task.
+WALKS = 512
 
 
 def anchors(blocks: DataFrame, solid_kmers: DataFrame, k: int) -> DataFrame:
@@ -90,6 +99,104 @@ def walks(starts: DataFrame, step: DataFrame, k: int, max_steps: int = MAX_STEPS
     return marked.join(end, "walk", "left").where(F.col("stop").isNull() | (F.col("step") < F.col("stop"))).select("walk", "step", "node")
 
 
+class Graph:
+    """The solid k-mers as sorted codes of two bits a letter (k up to 31), and steps of many walks at once."""
+
+    def __init__(self, codes: np.ndarray, k: int):
+        self.codes, self.k = codes, k
+        self.mask = np.uint64((1 << 2 * k) - 1)
+
+    def known(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(code.shape, bool)
+        return self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
+
+    def before(self, code: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The four k-mers that may come before each one, by first letter: codes, codes of the reverse complements, and which are solid."""
+        letter = np.arange(4, dtype=np.uint64)
+        forth = (code[:, None] >> np.uint64(2)) | letter << np.uint64(2 * (self.k - 1))
+        other = ((back[:, None] << np.uint64(2)) & self.mask) | (np.uint64(3) - letter)
+        return forth, other, self.known(np.minimum(forth, other))
+
+    def step(self, code: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next k-mer of each walk, its reverse complement, and whether there is one: the only one before it, or of two that
+        are a substitution bubble the one with the highest rank: a canonical one by its first letter, another by that letter's complement."""
+        forth, other, solid = self.before(code, back)
+        degree = solid.sum(axis=1)
+        letter = np.arange(4)
+        own = forth <= other
+        rank = np.where(solid, np.where(own, 2 * letter, 2 * (3 - letter) + 1), -1)
+        pick = rank.argmax(axis=1)
+        rows = np.arange(len(code))
+        go = degree == 1
+        two = np.flatnonzero(degree == 2)
+        if len(two):
+            branch = np.argsort(~solid[two], axis=1, kind="stable")[:, :2]
+            ends = [self.forced(forth[two, branch[:, i]], other[two, branch[:, i]]) for i in (0, 1)]
+            go[two] = ends[0][1] & ends[1][1] & (ends[0][0] == ends[1][0])
+        return forth[rows, pick], other[rows, pick], go
+
+    def forced(self, code: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each walk is after k + 1 steps without a choice, and whether there are so many."""
+        open_ = np.ones(len(code), bool)
+        for _ in range(self.k + 1):
+            forth, other, solid = self.before(code, back)
+            open_ &= solid.sum(axis=1) == 1
+            at = solid.argmax(axis=1)
+            rows = np.arange(len(code))
+            code, back = forth[rows, at], other[rows, at]
+        return code, open_
+
+    def walk(self, code: np.ndarray, back: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the k-mers of each walk, and how many there are."""
+        seen = np.zeros((len(code), max_steps), np.uint64)
+        path = np.zeros((len(code), max_steps), np.uint64)
+        n = np.ones(len(code), np.int64)
+        path[:, 0], seen[:, 0] = code, np.minimum(code, back)
+        live = np.arange(len(code))
+        while len(live):
+            t = int(n[live[0]])  # all that go on are equally long
+            if t >= max_steps:
+                break
+            code, back, go = self.step(code, back)
+            least = np.minimum(code, back)
+            go &= ~(seen[live, :t] == least[:, None]).any(axis=1)
+            live, code, back = live[go], code[go], back[go]
+            path[live, t], seen[live, t] = code, np.minimum(code, back)
+            n[live] += 1
+        return path, n
+
+
+def _walked(batches: Iterator[pa.RecordBatch], graph: Graph, max_steps: int) -> Iterator[pa.RecordBatch]:
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    for b in batches:
+        for k in range(0, b.num_rows, WALKS):
+            part = b.slice(k, WALKS)
+            code, back, good = kmer_codes(part["node"], graph.k)
+            names, nodes = part["walk"].to_pylist(), part["node"].to_pylist()
+            at = np.flatnonzero(good)
+            path, n = graph.walk(code[at], back[at], max_steps)
+            first = letters[(path >> np.uint64(2 * (graph.k - 1))).astype(np.int64) & 3]
+            texts, sizes = list(nodes), [1] * len(nodes)  # a start with other letters goes nowhere
+            for i, row, m in zip(at.tolist(), first, n.tolist(), strict=True):
+                texts[i], sizes[i] = row[1:m][::-1].tobytes().decode() + nodes[i], m
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["walk", "text", "n_kmers"])
+
+
+def sent_walk_texts(starts: DataFrame, codes: np.ndarray, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
+    """walk_texts of the walks from starts (walk, node), with all solid k-mers (codes, sorted) in every task. No shuffle."""
+    if max_steps < 2:
+        raise ValueError("max_steps is 2 or more")
+    sent = starts.sparkSession.sparkContext.broadcast(Graph(codes, odd(k)))
+    return spread(starts.select("walk", "node")).mapInArrow(lambda it: _walked(it, sent.value, max_steps), "walk string, text string, n_kmers long")
+
+
+def _codes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        code, back, _ = kmer_codes(b["kmer"], k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(code, back).view(np.int64))], names=["code"])
+
+
 def walk_texts(walked: DataFrame) -> DataFrame:
     """Text of each backward walk: the first letters of its k-mers from the last to the first, then the rest of the start."""
     letters = F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct((-F.col("step")).alias("s"), F.substring("node", 1, 1).alias("b")))))  # at most max_steps
@@ -112,7 +219,11 @@ def flanks(blocks: DataFrame, solid_kmers: DataFrame, k: int, max_steps: int = M
     at = written(anchors(blocks, solid_kmers, k), "anchors")
     side = lambda s, c: at.select(F.concat_ws(":", F.lit(s), "block_id").alias("walk"), c.alias("node"))
     starts = side("l", F.col("kmer_left")).unionByName(side("r", revcomp(F.col("kmer_right"))))
-    texts = walk_texts(walks(starts, steps(solid_kmers, k), k, max_steps))
+    if k <= 31 and solid_kmers.count() <= MOST_SENT:
+        codes = solid_kmers.mapInArrow(lambda it: _codes(it, k), "code long").toArrow()["code"].to_numpy()  # at most MOST_SENT
+        texts = sent_walk_texts(starts, np.sort(codes.view(np.uint64)), k, max_steps)
+    else:
+        texts = walk_texts(walks(starts, steps(solid_kmers, k), k, max_steps))
     parts = texts.select(F.substring("walk", 1, 1).alias("s"), F.expr("cast(substr(walk, 3) as bigint)").alias("block_id"), "text", "n_kmers")
     left = parts.where("s = 'l'").select("block_id", F.col("text").alias("lflank"), F.col("n_kmers").alias("n_left"))
     right = parts.where("s = 'r'").select("block_id", revcomp(F.col("text")).alias("rflank"), F.col("n_kmers").alias("n_right"))

@@ -167,3 +167,17 @@ def spelled_kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
             out[:, i] = np.frombuffer(b"ACGT", np.uint8)[((code >> np.uint64(2 * (k - 1 - i))) & np.uint64(3)).astype(np.int64)]
         words = pa.StringArray.from_buffers(len(code), pa.py_buffer((np.arange(len(code) + 1, dtype=np.int32) * k).tobytes()), pa.py_buffer(out.tobytes()))
         yield pa.RecordBatch.from_arrays([words, b["cnt"]], names=["kmer", "cnt"])
+
+
+def kmer_codes(kmers: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of k-mers (k up to 31) and of their reverse complements, and which have k letters A, C, G, T; the others have code 0."""
+    texts = [t if t is not None and len(t) == k else "" for t in kmers.to_pylist()]
+    good = np.array([bool(t) for t in texts], bool)
+    code = _BASE[np.frombuffer("".join(t or "A" * k for t in texts).encode("ascii", "replace"), np.uint8)].reshape(len(texts), k)
+    good &= (code < 4).all(axis=1) if len(texts) else good
+    code = np.where(code < 4, code, 0).astype(np.uint64)
+    forth, back = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    for i in range(k):
+        forth = (forth << np.uint64(2)) | code[:, i]
+        back |= (np.uint64(3) - code[:, i]) << np.uint64(2 * i)
+    return forth, back, good

@@ -432,12 +432,12 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 _COUNTS = f"""{_READS},
 tx as (select translate(s, 'N', 'A') s from rd union all select translate(upper(seq), 'N', 'A') from blocks where seq is not null and start is not null and "end" is not null),
 w as (select s[i : i + {K - 1}] w from (select s, unnest(range(1, length(s) - {K} + 2)) i from tx where length(s) >= {K})),
-kc as (select least(w, {_rc("w")}) kmer, least(count(*), 255)::bigint cnt from w where not regexp_matches(w, '[^ACGT]') group by 1),
-so as (select kmer from kc where cnt >= 2)"""
+kc as materialized (select least(w, {_rc("w")}) kmer, least(count(*), 255)::bigint cnt from w where not regexp_matches(w, '[^ACGT]') group by 1),
+so as materialized (select kmer from kc where cnt >= 2)"""
 # Oriented solid k-mers, and one backward step from the first k-1 letters of a k-mer.
 _GRAPH = _COUNTS + f""",
 nd as (select kmer node, true own from so union all select {_rc("kmer")}, false from so),
-cx as (select node[2:] ctx, count(*) degree, arg_max(node, case when own then (instr('ACGT', node[1]) - 1, 0) else (4 - instr('ACGT', node[1]), 1) end) chosen, min(node) b1, max(node) b2 from nd group by 1)"""
+cx as materialized (select node[2:] ctx, count(*) degree, arg_max(node, case when own then (instr('ACGT', node[1]) - 1, 0) else (4 - instr('ACGT', node[1]), 1) end) chosen, min(node) b1, max(node) b2 from nd group by 1)"""
 
 
 @query

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from repeatloom.operators import align, extend, kmers, merge, select, trf
@@ -83,7 +84,11 @@ def test_walks_with_bubbles_cycles_and_limits(spark):
         for r in walked.orderBy("step").collect():
             got.setdefault(r["walk"], []).append(r["node"])
         assert got == {w: walk(n, solid, k, limit) for w, n in starts.items()}
-        texts = {r["walk"]: r["text"] for r in extend.walk_texts(walked).collect()}
+        joined = {r["walk"]: (r["text"], r["n_kmers"]) for r in extend.walk_texts(walked).collect()}
+        codes = np.unique(np.array([int("".join(str("ACGT".index(c)) for c in x), 4) for x in solid], np.uint64))
+        sent = extend.sent_walk_texts(spark.createDataFrame(list(starts.items()), "walk string, node string"), codes, k, limit)
+        assert {r["walk"]: (r["text"], r["n_kmers"]) for r in sent.collect()} == joined
+        texts = {w: t for w, (t, _) in joined.items()}
         assert all(t.endswith(starts[w]) and len(t) == len(got[w]) + k - 1 for w, t in texts.items())
 
 
@@ -148,7 +153,9 @@ def simulate():
     return rows, left, right
 
 
-def test_merge_and_extend_find_the_simulated_locus(spark):
+@pytest.mark.parametrize("most", [8_000_000, 10])
+def test_merge_and_extend_find_the_simulated_locus(spark, monkeypatch, most):
+    monkeypatch.setattr(extend, "MOST_SENT", most)
     rows, left, right = simulate()
     reads = spark.createDataFrame(rows, READS)
     picked = select.select_str_reads(reads, 3, 29)
@@ -194,11 +201,15 @@ def test_command_line(spark, tmp_path):
     text = lambda x: "".join(p.read_text() for p in sorted((tmp_path / x).glob("part*")))
     main(["select", "-n", "3", "-f", "29", "-3", "-c", path("c.txt"), "--out", path("sel"), path("a.fq")], spark)
     main(["merge", "--out", path("blocks"), "28", path("sel")], spark)
-    main(["extend", "--out", path("contigs"), "27", path("blocks"), path("a.fq"), path("b.fq")], spark)
+    main(["extend", "--genome_size", "700", "--coverage", "30", "--out", path("contigs"), "27", path("blocks"), path("a.fq"), path("b.fq")], spark)
     main(["report", "--out", path("bed"), path("t.txt")], spark)
     assert text("sel").startswith("@r0\t") and text("sel").split("\n")[0].count("\t") == 8
     assert text("sel-check").split("\t")[0] == "AAG" and int(text("sel-check").split("\t")[2]) > 0
     assert text("blocks").count("@Block") == 1 and text("contigs").count(">Block") == 1
+    assert all(x.count("\t") == 1 for x in text("sel-misses").splitlines())
+    (tmp_path / "bad.fq").write_text("@r0\tAC\nACGT\n+\nIIII\n")
+    with pytest.raises(Exception, match="nine fields"):
+        main(["merge", "--out", path("none"), "28", path("bad.fq")], spark)
     assert text("bed") == "s\t100\t1\t3\t5.0\t3\t7\n"
 
 
