@@ -397,6 +397,52 @@ def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_str_reads(selected(spark, d), K, min_support=2, include_all=True)
 
 
+def _agreeing(keyed: DataFrame) -> DataFrame:
+    """block_id of the loci whose two keys lead nowhere else and whose reads' flanks are all parts of the longest ones."""
+    keyed = written(keyed, "keyed")
+    edges = keyed.select(F.col("fwd_key").alias("a"), F.col("rc_key").alias("b")).unionByName(keyed.select(F.col("rc_key").alias("a"), F.col("fwd_key").alias("b")))
+    lone = edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo = hi and lo != a")
+    closed = lone.alias("x").join(lone.alias("y"), (F.col("x.lo") == F.col("y.a")) & (F.col("y.lo") == F.col("x.a"))).where("x.a < y.a").select(F.col("x.a").alias("locus"))
+    at = F.struct("file_idx", "ord")
+    own = keyed.withColumn("locus", F.least("fwd_key", "rc_key")).join(closed, "locus")
+    founder = own.groupBy("locus").agg(F.min_by("rc_key", at).alias("block_key"), F.min(at).alias("at"))
+    back = F.col("rc_key") == F.col("block_key")
+    text = F.when(back, revcomp(F.col("seq"))).otherwise(F.col("seq"))
+    place = lambda c: F.when(back, F.col(f"rc.{c}")).otherwise(F.col(f"fwd.{c}"))
+    sides = own.join(founder, "locus").select("locus", "at", "seq", F.substr(text, F.lit(1), place("start")).alias("l"), F.substr(text, place("end") + 1, F.length("seq")).alias("r"))
+    most = sides.groupBy("locus").agg(F.max_by("l", F.length("l")).alias("ll"), F.max_by("r", F.length("r")).alias("rr"), F.min_by("r", F.length("r")).alias("short"))
+    fits = F.col("ll").endswith(F.col("l")) & F.col("rr").startswith(F.col("r")) & ~F.contains(F.expr("substr(rr, 2)"), F.col("short")) & ~F.col("seq").contains(".")
+    good = sides.join(most, "locus").groupBy("locus", "at").agg(F.min(fits).alias("fits")).where("fits")
+    return good.select((F.shiftleft(F.col("at.file_idx").cast("long"), 40) + F.col("at.ord")).alias("block_id"))
+
+
+@query
+def merged_blocks_agreeing(spark: SparkSession, d: str) -> DataFrame:
+    """Of merged_blocks those whose reads all agree: there the ordered fold has a result that SQL can tell."""
+    picked = written(selected(spark, d), "selected")
+    blocks = merge.merge_str_reads(picked, K, min_support=2, include_all=True)
+    ids = _agreeing(merge.merge_keys(picked, K))
+    return blocks.join(ids, "block_id", "left_semi").select("block_id", "motif", F.array_join(F.col("copies").cast("array<string>"), ",").alias("copies"), "start", "end", "seq", "support")
+
+
+SQL["merged_blocks_agreeing"] = f"""with sel as ({_both_sql()}),
+x as (select file_idx, ord, upper(trim(seq, chr(32) || chr(9) || chr(13))) s, sel.* from sel join fastq_reads using (read_id)),
+y as (select *, {_rc("s")} r, concat_ws(' ', motif, s[start - {K} + 1 : start], s["end" + 1 : "end" + {K}]) f, concat_ws(' ', rc_motif, ({_rc("s")})[rc_start - {K} + 1 : rc_start], ({_rc("s")})[rc_end + 1 : rc_end + {K}]) g from x),
+e as (select f a, g b from y union all select g, f from y),
+o as (select a, min(b) b from e group by a having min(b) = max(b) and min(b) != a),
+c as (select o.a locus from o join o p on p.a = o.b and p.b = o.a where o.a < p.a),
+z as (select *, least(f, g) locus, first_value(g) over w key, first_value(file_idx) over w fi, first_value(ord) over w fo from y where least(f, g) in (select locus from c) window w as (partition by least(f, g) order by file_idx, ord)),
+t as (select locus, fi, fo, file_idx, ord, s, case when g = key then rc_motif else motif end m, case when g = key then rc_copies else copies end n,
+  case when g = key then r[:rc_start] else s[:start] end l, case when g = key then r[rc_end + 1:] else s["end" + 1:] end q from z),
+u as (select locus, arg_max(l, length(l)) ll, arg_max(q, length(q)) rr, arg_min(q, length(q)) sh from t group by 1),
+v as (select locus, min(fi) fi, min(fo) fo, min(m) m, any_value(ll) ll, any_value(rr) rr, count(*) support from t join u using (locus) group by locus
+  having bool_and(ends_with(ll, l) and starts_with(rr, q) and not contains(rr[2:], sh) and not contains(s, '.'))),
+al as (select locus, n, row_number() over (partition by locus order by min((file_idx, ord)) desc) p from t group by locus, n having count(*) >= 2),
+k as (select locus, list(n order by p) cs from al where p <= 3 group by locus),
+h as (select v.*, coalesce(cs, [0]) cs from v left join k using (locus) where support between 2 and 10000 and coalesce(len(cs), 0) <= 2)
+select (fi::bigint << 40) + fo as block_id, m as motif, array_to_string(cs, ',') as copies, length(ll)::int as start, (length(ll) + list_max(cs) * length(m))::int as "end", ll || repeat(m, list_max(cs)) || rr as seq, support::int as support from h"""
+
+
 @query
 def merged_reads(spark: SparkSession, d: str) -> DataFrame:
     """Whether every selected read is in a block or among the lost ones."""
