@@ -227,11 +227,8 @@ from g where k > 1 group by t, m
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One record per template and mate: the bases closest to the voted consensus, places left unfilled and places that disagree
     counted alike, the best qualities, and the consensus."""
-    reads = table(spark, d, "fastq_reads")
-    best = survivors.survivors(reads, disagreement=1.0)
-    seqs = reads.select(F.col("read_id").alias("seq_id"), bases(F.col("seq")).alias("seq"))
-    quals = reads.select(F.col("read_id").alias("qual_id"), "qual")
-    return best.join(seqs, "seq_id", "left").join(quals, "qual_id", "left").select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")
+    best = survivors.survivors(table(spark, d, "fastq_reads"), disagreement=1.0)
+    return best.select("template", "mate", "n", "first_id", "seq_id", "seq", "qual_id", "qual", "consensus")
 
 
 @query
