@@ -362,7 +362,7 @@ def test_residue_is_found_and_talk_about_it_is_not(spark):
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, covered int, kinds string").repartition(5)
     found = {x["doc_id"]: x for x in residue.residue(df).collect()}
     assert set(found) == {*range(len(CASES)), len(texts) - 1}
-    assert found[0]["kinds"] == ["placeholder"] and found[2]["kinds"] == ["notice"] and found[4]["kinds"] == ["filler"]
+    assert found[0]["kinds"] == ["placeholder"] and found[2]["kinds"] == ["notice"] and found[4]["kinds"] == ["lorem"]
     assert residue.residue(df.limit(0)).count() == 0
 
 
@@ -596,3 +596,14 @@ def test_a_ledger_lives_on_and_a_batch_counts_once(spark, tmp_path, monkeypatch)
         assert told(other.process(batch(20 + 2 * i, [x, "a"]), x)) == {20 + 2 * i: False, 21 + 2 * i: True}
     third = seen.KeyLedger(spark, path=path)
     assert third.buckets == other.buckets == 8 and third.keys().count() == 9 and len(list((tmp_path / "ledger").iterdir())) == 1
+
+
+def test_invented_filler_does_not_become_prose(spark):
+    """Filler of a small invented vocabulary, as a good part of the corpus."""
+    r = random.Random(9)
+    words = "tibrum quisam dolandi verestra amicor fluvidum nostrica senatur virem capitum silvandi orbetur".split()
+    say = lambda: " ".join(r.choices(words, k=9)).capitalize() + "."
+    filler = [" ".join(say() for _ in range(4)) for _ in range(60)]
+    prose = [f"We {v} the {w} on the {m} and {n} it looks {a}." for v in ("plotted", "masked", "halved") for w in ("left flank", "pooled sample", "count table", "wash step") for m in ("small machine", "old bench", "second node") for n in ("now", "again") for a in ("clean", "flat", "odd", "short")]
+    df = spark.createDataFrame(list(enumerate(filler + prose)), "doc_id long, text string").repartition(4)
+    assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(filler)))
