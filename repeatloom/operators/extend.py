@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import canonical, revcomp, solid_letters
 from repeatloom.operators.kmers import contexts, count_kmers, odd, solid, windows
-from repeatloom.operators.letters import kmer_codes
+from repeatloom.operators.letters import bin_of, kmer_codes, reversed_codes, windows_of
 from repeatloom.shared import spread, written
 
 MAX_STEPS = 1024
-#: Most solid k-mers that are sent to all tasks (64 MB); walks in a larger graph use joins.
+#: Most solid k-mers that are sent to all tasks (64 MB); walks in a larger graph go from part to part of it.
 MOST_SENT = 8_000_000
+#: Solid k-mers in a part of a larger graph, about; and walks that are sent to the parts at once.
+PART, SENT_WALKS = 400_000, 400_000
 #: Walks taken at once by a task.
 WALKS = 512
 
@@ -197,6 +199,163 @@ def _codes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(code, back).view(np.int64))], names=["code"])
 
 
+_STATE = "walk string, node string, letters string, at long, left int, other long, pick long, met long, part int"
+_STATE_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+_STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Codes of solid k-mers by the part of the graph: that of their first k-1 letters and that of their last, so that all k-mers before one are in one part."""
+    for b in batches:
+        code, back, _ = kmer_codes(b["kmer"], k)
+        code = np.minimum(code, back)
+        one, two = bin_of(code >> np.uint64(2), k - 1, parts), bin_of(code & np.uint64((1 << 2 * (k - 1)) - 1), k - 1, parts)
+        code, part = np.concatenate([code, code[one != two]]), np.concatenate([one, two[one != two]])
+        order = np.argsort(part, kind="stable")
+        code, part = code[order], part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        data = [code[i:j].tobytes() for i, j in zip(first, [*first[1:], len(code)], strict=True)] if len(first) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(data, pa.binary())], names=["part", "codes"])
+
+
+def _merged_part(key: tuple, t: pa.Table) -> pa.Table:
+    codes = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t["codes"]]))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([codes.tobytes()], pa.binary())})
+
+
+def graph_parts(solid_kmers: DataFrame, k: int, parts: int) -> DataFrame:
+    """The graph in parts by minimizers: part and its k-mers as sorted codes. A walk stays in a part for some ten steps."""
+    return solid_kmers.select("kmer").mapInArrow(lambda it: _in_parts(it, k, parts), "part int, codes binary").groupBy("part").applyInArrow(_merged_part, "part int, codes binary")
+
+
+def _begun(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """States of walks that begin; the part is -1 where a walk is over: a start with other letters goes nowhere."""
+    for b in batches:
+        code, _, good = kmer_codes(b["node"], k)
+        part = np.where(good, bin_of(code >> np.uint64(2), k - 1, parts), -1).astype(np.int32)
+        zero = np.zeros(len(code), np.int64)
+        cols = [b["walk"], b["node"], [""] * len(code), code.view(np.int64), zero.astype(np.int32), zero, zero, zero, part]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(cols, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
+
+
+def _cut(nodes: list[str], letters: list[str], k: int) -> list[str]:
+    """The letters of each walk up to where it came to a k-mer that it held already on either strand."""
+    sizes = np.array([len(x) + 1 for x in letters])
+    text = np.frombuffer("".join(x[::-1] + n for n, x in zip(nodes, letters, strict=True)).encode(), np.uint8)
+    forth = windows_of(_LETTER[text], k)
+    begin = np.cumsum(sizes + k - 1) - (sizes + k - 1)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = forth[place + begin[owner]]
+    least, step = np.minimum(code, reversed_codes(code, k)), sizes[owner] - 1 - place
+    order = np.lexsort((step, least, owner))
+    again = np.zeros(len(order), bool)
+    again[1:] = (owner[order][1:] == owner[order][:-1]) & (least[order][1:] == least[order][:-1])
+    stop = sizes.copy()
+    np.minimum.at(stop, owner[order][again], step[order][again])
+    return [x if n == len(x) + 1 else x[: n - 1] for x, n in zip(letters, stop.tolist(), strict=True)]
+
+
+_LETTER = np.zeros(256, np.uint64)
+for _i, _c in enumerate(b"ACGT"):
+    _LETTER[_c] = _i
+
+
+def _through_part(t: pa.Table, graph: Graph, part: int, parts: int, max_steps: int) -> pa.RecordBatch:
+    """The walks that are in a part go on until they are over or in another one. At a fork (left above 0) a walk looks
+    along one branch, then along the other: k + 1 steps without a choice each, as Graph.step does at once."""
+    k, n_walks = graph.k, t.num_rows
+    nodes, letters = t["node"].to_pylist(), t["letters"].to_pylist()
+    at, other, pick, met = (t[c].to_numpy().astype(np.uint64) for c in ("at", "other", "pick", "met"))
+    left, size = t["left"].to_numpy().astype(np.int64), np.array([len(x) for x in letters], np.int64)
+    here, own = np.full(n_walks, part, np.int32), np.zeros((n_walks, max_steps), np.uint8)
+    began = size.copy()
+    live = np.arange(n_walks)
+
+    def take(rows: np.ndarray, to: np.ndarray) -> None:
+        own[rows, size[rows]] = (to >> np.uint64(2 * (k - 1))).astype(np.uint8)
+        size[rows] += 1
+        at[rows], left[rows] = to, 0
+        here[rows[size[rows] + 1 >= max_steps]] = -1
+
+    while len(live):
+        code = at[live]
+        forth, _, solid = graph.before(code, reversed_codes(code, k))
+        back = reversed_codes(forth.reshape(-1), k).reshape(forth.shape)
+        degree, looks = solid.sum(axis=1), left[live] > 0
+        only = forth[np.arange(len(live)), solid.argmax(axis=1)]
+        here[live[(degree == 0) | (degree > 2) | (looks & (degree != 1))]] = -1
+        one = ~looks & (degree == 1)
+        take(live[one], only[one])
+        fork = ~looks & (degree == 2)
+        if fork.any():
+            letter = np.arange(4)
+            rank = np.where(solid[fork], np.where(forth[fork] <= back[fork], 2 * letter, 2 * (3 - letter) + 1), -1)
+            branch = np.argsort(~solid[fork], axis=1, kind="stable")[:, :2]
+            rows, two = live[fork], forth[fork]
+            each = np.arange(len(rows))
+            pick[rows], at[rows], other[rows] = two[each, rank.argmax(axis=1)], two[each, branch[:, 0]], two[each, branch[:, 1]]
+            left[rows] = 2 * (k + 1)
+        goes = looks & (degree == 1)
+        rows = live[goes]
+        at[rows] = only[goes]
+        left[rows] -= 1
+        half = rows[left[rows] == k + 1]
+        met[half], at[half] = at[half], other[half]
+        over = rows[left[rows] == 0]
+        same = at[over] == met[over]
+        here[over[~same]] = -1
+        take(over[same], pick[over[same]])
+        rows = live[here[live] >= 0]
+        here[rows] = bin_of(at[rows] >> np.uint64(2), k - 1, parts)
+        live = rows[here[rows] == part]
+    added = np.frombuffer(b"ACGT", np.uint8)[own]
+    letters = [x + row[a:z].tobytes().decode() for x, row, a, z in zip(letters, added, began.tolist(), size.tolist(), strict=True)]
+    kept = _cut(nodes, letters, k)
+    here[[len(a) != len(b) for a, b in zip(kept, letters, strict=True)]] = -1
+    cols = [t["walk"].combine_chunks(), nodes, kept, at.view(np.int64), left.astype(np.int32), other.view(np.int64), pick.view(np.int64), met.view(np.int64), here]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(cols, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
+
+
+def _gone_on(batches: Iterator[pa.RecordBatch], k: int, parts: int, max_steps: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            codes, part = np.frombuffer(b["codes"][i].as_py(), np.uint64), b["part"][i].as_py()
+            found = pa.Table.from_batches([pa.RecordBatch.from_struct_array(b["states"][i].values)])
+            for j in range(0, found.num_rows, ROWS):
+                yield _through_part(found.slice(j, ROWS).combine_chunks(), Graph(codes, k), part, parts, max_steps)
+
+
+#: Walks of a part taken at once.
+ROWS = 4096
+
+
+def parted_walk_texts(starts: DataFrame, solid_kmers: DataFrame, n_solid: int, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
+    """walk_texts of the walks from starts (walk, node) in a graph of any size. The graph is written once in parts; in each round
+    the walks are sent to the parts that they are in and go on there until they leave them, so nothing of the graph is shuffled again. A round reads the parts that have walks.
+    SENT_WALKS are under way at once, so that what is sent is bounded."""
+    if max_steps < 2:
+        raise ValueError("max_steps is 2 or more")
+    k = odd(k)
+    parts = max(1, -(-n_solid // PART))
+    graph = written(graph_parts(solid_kmers, k, parts), "graph")
+    present = {r["part"] for r in graph.select("part").collect()}
+    state = written(starts.select("walk", "node").mapInArrow(lambda it: _begun(it, k, parts), _STATE), "begun")
+    out = state.where("part < 0")
+    slices = -(-state.count() // SENT_WALKS)
+    for i in range(slices):
+        live = state.where((F.col("part") >= 0) & (F.pmod(F.xxhash64("walk"), F.lit(slices)) == i))
+        while at := [r["part"] for r in live.select("part").distinct().collect()]:  # at most as many as there are parts
+            sent = live.groupBy("part").agg(F.collect_list(F.struct(*_STATE_NAMES[:-1])).alias("states"))
+            rows = graph.where(F.col("part").isin(at)).join(F.broadcast(sent), "part").select("part", "codes", "states")
+            moved = written(rows.mapInArrow(lambda it: _gone_on(it, k, parts, max_steps), _STATE), "moved")
+            out = out.unionByName(moved.where("part < 0"))
+            if empty := set(at) - present:  # without a k-mer: what walks there is over
+                out = out.unionByName(live.where(F.col("part").isin(sorted(empty))))
+            live = moved.where("part >= 0")
+    return out.select("walk", F.concat(F.reverse("letters"), F.col("node")).alias("text"), (F.length("letters") + 1).cast("long").alias("n_kmers"))
+
+
 def walk_texts(walked: DataFrame) -> DataFrame:
     """Text of each backward walk: the first letters of its k-mers from the last to the first, then the rest of the start."""
     letters = F.array_sort(F.collect_list(F.when(F.col("step") > 0, F.struct((-F.col("step")).alias("s"), F.substring("node", 1, 1).alias("b")))))  # at most max_steps
@@ -219,9 +378,12 @@ def flanks(blocks: DataFrame, solid_kmers: DataFrame, k: int, max_steps: int = M
     at = written(anchors(blocks, solid_kmers, k), "anchors")
     side = lambda s, c: at.select(F.concat_ws(":", F.lit(s), "block_id").alias("walk"), c.alias("node"))
     starts = side("l", F.col("kmer_left")).unionByName(side("r", revcomp(F.col("kmer_right"))))
-    if k <= 31 and solid_kmers.count() <= MOST_SENT:
+    n_solid = solid_kmers.count()
+    if k <= 31 and n_solid <= MOST_SENT:
         codes = solid_kmers.mapInArrow(lambda it: _codes(it, k), "code long").toArrow()["code"].to_numpy()  # at most MOST_SENT
         texts = sent_walk_texts(starts, np.sort(codes.view(np.uint64)), k, max_steps)
+    elif k <= 31:
+        texts = parted_walk_texts(starts, solid_kmers, n_solid, k, max_steps)
     else:
         texts = walk_texts(walks(starts, steps(solid_kmers, k), k, max_steps))
     parts = texts.select(F.substring("walk", 1, 1).alias("s"), F.expr("cast(substr(walk, 3) as bigint)").alias("block_id"), "text", "n_kmers")
@@ -238,7 +400,7 @@ def extend_str_reads(blocks: DataFrame, reads: DataFrame, k: int, min_count: int
     blocks: block_id (unique), motif, copies, start, end, seq. Gives name, motif, copies (as text), start, end,
     seq. Blocks with a side shorter than k, or with a flank that agrees with the block in less
     than min_identity percent, give none. N counts as A in k-mers only."""
-    counts = count_kmers(reads, k, blocks if include_blocks else None)
+    counts = count_kmers(reads, k, blocks if include_blocks else None, max(2, min_count))
     out = flanks(blocks, solid(counts, min_count, max_count), k, max_steps).where((F.col("pid_left") >= min_identity) & (F.col("pid_right") >= min_identity))
     rows = out.join(blocks.select("block_id", "motif", "copies"), "block_id")
     shift = F.length("lflank") - F.col("idx_left")

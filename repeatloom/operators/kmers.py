@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import canonical, revcomp, solid_letters
-from repeatloom.operators.letters import counted_kmers, spelled_kmers
+from repeatloom.operators.letters import counted_stretches, kmer_stretches
 from repeatloom.shared import spread
 
 #: Counters stop here.
@@ -35,18 +35,22 @@ def explode_kmers(texts: DataFrame, k: int) -> DataFrame:
     return s.select(F.explode(windows(F.col("s"), k)).alias("w")).where(~F.col("w").rlike("[^ACGT]")).select(canonical(F.col("w")).alias("kmer"))
 
 
-def count_kmers(reads: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
-    """kmer and cnt over reads, and over the blocks' sequences too where given; cnt stops at MAX_COUNT.
-    Partial sums are made before the shuffle, so frequent k-mers do not make hot partitions."""
+def _bins(texts: DataFrame) -> int:
+    """How many bins of minimizers: one for some 128 KB of texts by the plan's estimate. It is a matter of sizes only, never of results."""
+    return min(max(256, int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 17), 1 << 14)
+
+
+def count_kmers(reads: DataFrame, k: int, blocks: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """kmer and cnt over reads, and over the blocks' sequences too where given, of k-mers seen `least` times or more; cnt stops at MAX_COUNT.
+    Up to 31 letters k-mers are shuffled as stretches of letters, each to the bin of its minimizer, and counted there."""
     texts = reads.select("seq") if blocks is None else reads.select("seq").unionByName(blocks.select("seq"))
     k = odd(k)
     if k > 31:
         counts = explode_kmers(texts, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
-        return counts.select("kmer", F.least("cnt", F.lit(MAX_COUNT).cast("long")).alias("cnt"))
-    # As numbers of two bits a letter: an eighth of the bytes in the shuffle, and counted by batches before it.
-    parts = spread(texts.where(F.length("seq") >= k)).mapInArrow(lambda it: counted_kmers(it, k), "code long, n long")
-    counts = parts.groupBy("code").agg(F.least(F.sum("n"), F.lit(MAX_COUNT).cast("long")).alias("cnt"))
-    return counts.mapInArrow(lambda it: spelled_kmers(it, k), "kmer string, cnt long")
+        return counts.where(F.col("cnt") >= least).select("kmer", F.least("cnt", F.lit(MAX_COUNT).cast("long")).alias("cnt"))
+    bins = _bins(texts)
+    parts = spread(texts.where(F.length("seq") >= k)).mapInArrow(lambda it: kmer_stretches(it, k, bins), "bin int, data binary")
+    return parts.groupBy("bin").applyInArrow(lambda t: counted_stretches(t, k, least, MAX_COUNT), "kmer string, cnt long")
 
 
 def solid(counts: DataFrame, min_count: int = 2, max_count: int = MAX_COUNT) -> DataFrame:

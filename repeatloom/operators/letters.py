@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,59 @@ for _i, _c in enumerate("ACGT"):
 _BASE[ord("N")] = _BASE[ord("n")] = 0
 
 
-def _distinct(batches: list[pa.Array], k: int) -> tuple[np.ndarray, np.ndarray]:
-    texts = pa.chunked_array(batches).combine_chunks()
+#: Letters of a minimizer at most, and of k-mers in a stretch.
+MINIMIZER, STRETCH = 9, 255
+
+
+def windows_of(code: np.ndarray, k: int) -> np.ndarray:
+    """Codes of two bits a letter of all k letters in a row (k up to 32), by doubling."""
+    n = max(0, len(code) - k + 1)
+    piece, size, out, at = code.astype(np.uint64), 1, np.zeros(n, np.uint64), 0
+    while at < k:
+        if k & size:
+            out = (out << np.uint64(2 * size)) | piece[at : at + n]
+            at += size
+        if at < k:
+            piece = (piece[: max(0, len(piece) - size)] << np.uint64(2 * size)) | piece[size:]
+            size *= 2
+    return out
+
+
+def reversed_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements."""
+    c = ~code
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        m, b = np.uint64(mask), np.uint64(bits)
+        c = ((c >> b) & m) | ((c & m) << b)
+    return c.byteswap() >> np.uint64(64 - 2 * k)
+
+
+@lru_cache(4)
+def _ranks(m: int) -> np.ndarray:
+    """The rank of each m letters: a fixed scattered order, the same for a text and its reverse complement."""
+    code = np.arange(4**m, dtype=np.uint64)
+    h = (np.minimum(code, reversed_codes(code, m)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+
+
+def _bin(rank: np.ndarray, bins: int) -> np.ndarray:
+    return ((rank.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % bins
+
+
+def bin_of(code: np.ndarray, k: int, bins: int) -> np.ndarray:
+    """The bin of each text of k letters by its minimizer: texts that overlap by all but a letter mostly share it, and reverse complements do."""
+    m = min(MINIMIZER, k)
+    least, mask = np.full(len(code), 0xFFFFFFFF, np.uint32), np.uint64(4**m - 1)
+    for i in range(k - m + 1):
+        least = np.minimum(least, _ranks(m)[(code >> np.uint64(2 * i)) & mask])
+    return _bin(least, bins)
+
+
+def _stretches(texts: pa.Array, k: int, bins: int) -> Iterator[tuple[int, bytes, int]]:
+    """The k-mers of some texts as stretches of letters whose k-mers share their minimizer, put together by its bin: bin, data, k-mers. Equal texts are one
+    with their number. Data: how many stretches, of each its number of texts and of k-mers, and all letters, two bits each."""
+    counted = pc.value_counts(texts)
+    texts, number = counted.field("values"), counted.field("counts").to_numpy(zero_copy_only=False)
     if not pc.all(pc.string_is_ascii(texts)).as_py():
         texts = pc.replace_substring_regex(texts, r"[^\x00-\x7f]", ".")
     texts = texts.cast(pa.large_binary())
@@ -127,26 +179,48 @@ def _distinct(batches: list[pa.Array], k: int) -> tuple[np.ndarray, np.ndarray]:
     code = _BASE[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
     n = len(code) - k + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        return
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
     bad = np.concatenate([[0], np.cumsum(code == 4)])
     good = (bad[k:] == bad[:n]) & (owner[k - 1 :] == owner[:n])
-    forth, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(k):
-        c = code[i : i + n]
-        forth = (forth << np.uint64(2)) | (c & np.uint64(3))
-        back |= (np.uint64(3) - (c & np.uint64(3))) << np.uint64(2 * i)
-    return np.unique(np.minimum(forth, back)[good].view(np.int64), return_counts=True)
+    m = min(MINIMIZER, k)
+    least, size, left = _ranks(m)[windows_of(code & np.uint64(3), m)], 1, k - m + 1
+    while 2 * size <= left:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[:n], least[left - size : left - size + n])
+    new = good.copy()
+    new[1:] &= ~good[:-1] | (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
+    run = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    if not len(first):
+        return
+    new[good] |= (np.arange(n)[good] - first[run[good]]) % STRETCH == 0  # long ones are cut
+    first = np.flatnonzero(new)
+    sizes = np.bincount((np.cumsum(new) - 1)[good], minlength=len(first))
+    at = _bin(least[first], bins)
+    order = np.argsort(at, kind="stable")
+    at, first, sizes, times = at[order], first[order], sizes[order], number[owner[first[order]]]
+    bounds = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    small = code.astype(np.uint8)
+    for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(at)], strict=True):
+        spans = sizes[a:b] + k - 1
+        starts = np.concatenate([[0], np.cumsum(spans)])
+        letters = small[np.arange(starts[-1]) + np.repeat(first[a:b] - starts[:-1], spans)]
+        letters = np.concatenate([letters, np.zeros(-len(letters) % 4, np.uint8)]).reshape(-1, 4)
+        packed = (letters << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1, dtype=np.uint8)
+        data = np.int64(b - a).tobytes() + times[a:b].astype(np.int64).tobytes() + sizes[a:b].astype(np.uint8).tobytes() + packed.tobytes()
+        yield int(at[a]), data, int(sizes[a:b].sum())
 
 
-def counted_kmers(batches: Iterator[pa.RecordBatch], k: int, letters: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Different k-mers (k up to 31) of each few million letters with their counts: the smaller of a k-mer and its reverse
-    complement, two bits a letter, so numbers sort as letters do."""
+def kmer_stretches(batches: Iterator[pa.RecordBatch], k: int, bins: int, letters: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The k-mers (k up to 31) of each few million letters by bins of their minimizers, as stretches of letters: a letter is sent some
+    three times for a k-mer, not k times, and equal k-mers of either strand meet in one bin."""
     held, size = [], 0
 
     def told() -> pa.RecordBatch:
-        code, n = _distinct(held, k)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+        rows = list(_stretches(pa.chunked_array(held).combine_chunks(), k, bins))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary()))], names=["bin", "data"])
 
     for b in batches:
         held.append(b["seq"])
@@ -158,15 +232,52 @@ def counted_kmers(batches: Iterator[pa.RecordBatch], k: int, letters: int = 2_00
         yield told()
 
 
-def spelled_kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """code and cnt as kmer and cnt."""
-    for b in batches:
-        code = b["code"].to_numpy().astype(np.uint64)
-        out = np.empty((len(code), k), np.uint8)
-        for i in range(k):
-            out[:, i] = np.frombuffer(b"ACGT", np.uint8)[((code >> np.uint64(2 * (k - 1 - i))) & np.uint64(3)).astype(np.int64)]
-        words = pa.StringArray.from_buffers(len(code), pa.py_buffer((np.arange(len(code) + 1, dtype=np.int32) * k).tobytes()), pa.py_buffer(out.tobytes()))
-        yield pa.RecordBatch.from_arrays([words, b["cnt"]], names=["kmer", "cnt"])
+def _windows_of_stretches(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the k-mers, the smaller of each and its reverse complement, and how many texts each stands for."""
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    times, sizes = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64)
+    packed = np.frombuffer(data, np.uint8, offset=8 + 9 * n)
+    letters = ((packed[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).reshape(-1)
+    starts = np.concatenate([[0], np.cumsum(sizes + k - 1)[:-1]])
+    before = np.cumsum(sizes) - sizes
+    forth = windows_of(letters, k)[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)]
+    return np.minimum(forth, reversed_codes(forth, k)), np.repeat(times, sizes)
+
+
+#: K-mers that are counted at once; with their numbers some 100 MB.
+AT_ONCE = 4_000_000
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if (times == 1).all():
+        return np.unique(code, return_counts=True)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def counted_stretches(t: pa.Table, k: int, least: int, most: int) -> pa.Table:
+    """The different k-mers of one bin, and their counts up to `most`; those with at least `least`."""
+    parts, size = [], 0
+    for x in t["data"]:
+        parts.append(_windows_of_stretches(x.as_py(), k))
+        size += len(parts[-1][0])
+        if size >= AT_ONCE and len(parts) > 1:
+            parts = [_summed(parts)]
+            size = 0
+    code, n = _summed(parts)
+    keep = n >= least
+    return pa.table({"kmer": spelled(code[keep], k), "cnt": pa.array(np.minimum(n[keep], most).astype(np.int64))})
+
+
+def spelled(code: np.ndarray, k: int) -> pa.Array:
+    """Codes as letters."""
+    out = np.empty((len(code), k), np.uint8)
+    for i in range(k):
+        out[:, i] = np.frombuffer(b"ACGT", np.uint8)[((code >> np.uint64(2 * (k - 1 - i))) & np.uint64(3)).astype(np.int64)]
+    return pa.StringArray.from_buffers(len(code), pa.py_buffer((np.arange(len(code) + 1, dtype=np.int32) * k).tobytes()), pa.py_buffer(out.tobytes()))
 
 
 def kmer_codes(kmers: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
