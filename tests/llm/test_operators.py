@@ -607,3 +607,21 @@ def test_invented_filler_does_not_become_prose(spark):
     prose = [f"We {v} the {w} on the {m} and {n} it looks {a}." for v in ("plotted", "masked", "halved") for w in ("left flank", "pooled sample", "count table", "wash step") for m in ("small machine", "old bench", "second node") for n in ("now", "again") for a in ("clean", "flat", "odd", "short")]
     df = spark.createDataFrame(list(enumerate(filler + prose)), "doc_id long, text string").repartition(4)
     assert {x["doc_id"] for x in residue.residue(df).collect()} == set(range(len(filler)))
+
+
+def test_prose_is_counted_from_all_posts(spark, monkeypatch):
+    """At most about 20,000 posts were counted, whatever the size of the corpus."""
+    n, counted = 24_000, []
+    fitted = residue._fitted
+    monkeypatch.setattr(residue, "_fitted", lambda sentences, model: counted.append(sentences.count()) or (model if model else residue.Model()))
+    df = spark.range(n).selectExpr("id as doc_id", "concat('We plotted flank number ', id, ' again.') as text")
+    residue.fit(df.unionByName(df.limit(50)))
+    assert counted == [n, n]
+    monkeypatch.setattr(residue, "_fitted", fitted)
+    v = residue.vocabulary()
+    counts = []
+    monkeypatch.setattr(residue, "_unpacked", lambda flat, own=residue._unpacked: counts.append(own(flat)) or counts[-1])
+    few = [f"We plotted flank number {i} again." for i in range(300)]
+    residue.fit(spark.createDataFrame([(i, t) for i, t in enumerate(few * 2)], "doc_id long, text string").repartition(5))
+    want = v.letters.count(residue._PLAIN[residue._joined(few)])
+    assert abs(counts[0][0][0].sum() - want[0].sum()) <= 0.02 * want[0].sum()  # the letters where sentences meet depend on the order
