@@ -625,3 +625,32 @@ def test_prose_is_counted_from_all_posts(spark, monkeypatch):
     residue.fit(spark.createDataFrame([(i, t) for i, t in enumerate(few * 2)], "doc_id long, text string").repartition(5))
     want = v.letters.count(residue._PLAIN[residue._joined(few)])
     assert abs(counts[0][0][0].sum() - want[0].sum()) <= 0.02 * want[0].sum()  # the letters where sentences meet depend on the order
+
+
+def test_the_consensus_of_qualities_is_the_best_of_each_place():
+    """It was the largest sum of one row, so that row had the distance 0."""
+    at = lambda out, i: out[i]
+    out = survivors.survivor([1, 2, 3], [0, 0, 0], ["ACGT", "ACGT", "ACG"], ["I!I!", "!I!5", "III"], [33] * 3)
+    ceiling, phred, qual_id = at(out, 8), at(out, 9), at(out, 11)
+    assert (ceiling, phred, qual_id) == (40 * 3 + 20, 120, 3)
+    same = survivors.survivor([1, 2], [0, 0], ["AC", "AC"], ["I!", "!J"], [33] * 2)
+    assert (same[8], same[9], same[11]) == (81, 41, 2)
+    gap = survivors.survivor([1, 2], [0, 0], ["ACGTTTGACCA", "ACGTGACCA"], ["I" * 11, "J" * 9], [33] * 2)
+    assert (gap[8], gap[9], gap[11]) == (9 * 41 + 2 * 40, 440, 1)
+    none = survivors.survivor([1, 2], [0, 0], ["AC", None], [None, "II"], [33] * 2)
+    assert none[8] is None and none[11] is None
+
+
+def test_parts_of_a_large_group_have_one_consensus_in_p5_found(spark, monkeypatch):
+    """p5_found left the profiles of the parts of large groups apart."""
+    from repeatloom.llm import queries
+
+    monkeypatch.setattr(survivors, "HOT", 3)
+    schema = "read_id long, name string, seq string, qual string, qual_offset int, loaded_at timestamp"
+    df = spark.createDataFrame([(i, "t/1", "ACGTACGTAC"[: 10 - i % 3], "I" * (10 - i % 3), 33, None) for i in range(20)], schema)
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: df)
+    merged, own = [], survivors.written
+    monkeypatch.setattr(survivors, "written", lambda x, name: merged.append(own(x, name)) or merged[-1])
+    assert [tuple(x) for x in queries.QUERIES["p5_found"](spark, "").collect()] == [(0, 0, 0)]
+    (profile,) = merged[-1].collect()
+    assert profile["consensus"] == "ACGTACGTAC" and survivors.best_qualities(np.frombuffer(profile["profile"], np.int64).reshape(-1, 5)) == 400
