@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatloom.functions.dna import canonical, revcomp, solid_letters
-from repeatloom.operators.kmers import contexts, count_kmers, odd, solid, windows
-from repeatloom.operators.letters import bin_of, kmer_codes, reversed_codes, windows_of
-from repeatloom.shared import spread, written
+from repeatloom.operators.kmers import MAX_COUNT, bins_of, contexts, count_kmers, odd, solid, windows
+from repeatloom.operators.letters import bin_of, counted_codes, kmer_codes, kmer_stretches, placed_codes, reversed_codes, windows_of
+from repeatloom.shared import drop, fresh_path, spread, written
 
 MAX_STEPS = 1024
 #: Most solid k-mers that are sent to all tasks (64 MB); walks in a larger graph go from part to part of it.
@@ -28,12 +28,27 @@ def anchors(blocks: DataFrame, solid_kmers: DataFrame, k: int) -> DataFrame:
     the repeat's start if none is solid), the last one right of it (idx_right is its start; the repeat's end if none is solid).
     Blocks whose sides are shorter than k on the left or on the right are left out."""
     k = odd(k)
-    s = solid_letters(F.col("seq"))
-    own = blocks.select("block_id", F.col("start").alias("zstart"), F.col("end").alias("zend"), "seq", s.alias("s")).where((F.col("zstart") >= k) & (F.length("seq") - F.col("zend") >= k))
-    left = F.transform(windows(F.substr("s", F.lit(1), F.col("zstart")), k), lambda w, i: F.struct(F.lit("left").alias("side"), i.alias("pos"), canonical(w).alias("kmer")))
-    right = F.transform(windows(F.expr("substr(s, zend + 1)"), k), lambda w, i: F.struct(F.lit("right").alias("side"), i.alias("pos"), canonical(w).alias("kmer")))
+    own = _long_enough(blocks, k)
+    left_text, right_text = _sides()
+    left = F.transform(windows(left_text, k), lambda w, i: F.struct(F.lit("left").alias("side"), i.alias("pos"), canonical(w).alias("kmer")))
+    right = F.transform(windows(right_text, k), lambda w, i: F.struct(F.lit("right").alias("side"), i.alias("pos"), canonical(w).alias("kmer")))
     hits = own.select("block_id", F.inline(F.concat(left, right))).join(solid_kmers.select("kmer"), "kmer", "left_semi")
     found = hits.groupBy("block_id").agg(F.min(F.when(F.col("side") == "left", F.col("pos"))).alias("i"), F.max(F.when(F.col("side") == "right", F.col("pos"))).alias("j"))
+    return _anchored(own, found, k)
+
+
+def _sides() -> tuple[Column, Column]:
+    """The letters of a block on both sides of its repeat."""
+    return F.substr("s", F.lit(1), F.col("zstart")), F.expr("substr(s, zend + 1)")
+
+
+def _long_enough(blocks: DataFrame, k: int) -> DataFrame:
+    own = blocks.select("block_id", F.col("start").alias("zstart"), F.col("end").alias("zend"), "seq", solid_letters(F.col("seq")).alias("s"))
+    return own.where((F.col("zstart") >= k) & (F.length("seq") - F.col("zend") >= k))
+
+
+def _anchored(own: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """anchors, from the places of the first solid k-mer on the left (i) and the last on the right (j) of each block."""
     at = own.join(found, "block_id", "left").select(
         "block_id", "zstart", "zend", "seq", "s",
         F.coalesce(F.col("i") + k, F.col("zstart") + 1).alias("idx_left"), (F.col("zend") + F.coalesce("j", F.lit(0))).alias("idx_right"),
@@ -193,12 +208,6 @@ def sent_walk_texts(starts: DataFrame, codes: np.ndarray, k: int, max_steps: int
     return spread(starts.select("walk", "node")).mapInArrow(lambda it: _walked(it, sent.value, max_steps), "walk string, text string, n_kmers long")
 
 
-def _codes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        code, back, _ = kmer_codes(b["kmer"], k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(code, back).view(np.int64))], names=["code"])
-
-
 _STATE = "walk string, node string, letters string, at long, left int, other long, pick long, met long, part int"
 _STATE_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 _STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
@@ -334,25 +343,41 @@ def parted_walk_texts(starts: DataFrame, solid_kmers: DataFrame, n_solid: int, k
     """walk_texts of the walks from starts (walk, node) in a graph of any size. The graph is written once in parts; in each round
     the walks are sent to the parts that they are in and go on there until they leave them, so nothing of the graph is shuffled again. A round reads the parts that have walks.
     SENT_WALKS are under way at once, so that what is sent is bounded."""
-    if max_steps < 2:
-        raise ValueError("max_steps is 2 or more")
     k = odd(k)
     parts = max(1, -(-n_solid // PART))
-    graph = written(graph_parts(solid_kmers, k, parts), "graph")
+    return walks_in_parts(starts, written(graph_parts(solid_kmers, k, parts), "graph"), parts, k, max_steps)
+
+
+def walks_in_parts(starts: DataFrame, graph: DataFrame, parts: int, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
+    """The same in a written graph (part, codes) of so many parts. Of the rounds only the walks that are over stay on disk: those that go on are deleted when the next
+    round has them. What goes on is brought together by one task and sent from there, without a shuffle."""
+    if max_steps < 2:
+        raise ValueError("max_steps is 2 or more")
+    spark, n = starts.sparkSession, 0
+    base = fresh_path(spark, "walks")
+
+    def stored(df: DataFrame) -> DataFrame:
+        df.withColumn("over", F.col("part") < 0).write.partitionBy("over").option("compression", "zstd").parquet(f"{base}/round={n}")
+        return spark.read.schema(f"{_STATE}, over boolean").parquet(f"{base}/round={n}").where("not over").drop("over")
+
     present = {r["part"] for r in graph.select("part").collect()}
-    state = written(starts.select("walk", "node").mapInArrow(lambda it: _begun(it, k, parts), _STATE), "begun")
-    out = state.where("part < 0")
-    slices = -(-state.count() // SENT_WALKS)
+    begun = stored(starts.select("walk", "node").mapInArrow(lambda it: _begun(it, k, parts), _STATE))
+    slices = -(-begun.count() // SENT_WALKS)
     for i in range(slices):
-        live = state.where((F.col("part") >= 0) & (F.pmod(F.xxhash64("walk"), F.lit(slices)) == i))
+        live, before = begun.where(F.pmod(F.xxhash64("walk"), F.lit(slices)) == i), 0
         while at := [r["part"] for r in live.select("part").distinct().collect()]:  # at most as many as there are parts
-            sent = live.groupBy("part").agg(F.collect_list(F.struct(*_STATE_NAMES[:-1])).alias("states"))
+            sent = live.coalesce(1).groupBy("part").agg(F.collect_list(F.struct(*_STATE_NAMES[:-1])).alias("states"))
             rows = graph.where(F.col("part").isin(at)).join(F.broadcast(sent), "part").select("part", "codes", "states")
-            moved = written(rows.mapInArrow(lambda it: _gone_on(it, k, parts, max_steps), _STATE), "moved")
-            out = out.unionByName(moved.where("part < 0"))
+            moved = rows.mapInArrow(lambda it: _gone_on(it, k, parts, max_steps), _STATE)
             if empty := set(at) - present:  # without a k-mer: what walks there is over
-                out = out.unionByName(live.where(F.col("part").isin(sorted(empty))))
-            live = moved.where("part >= 0")
+                moved = moved.unionByName(live.where(F.col("part").isin(sorted(empty))).withColumn("part", F.lit(-1)))
+            n += 1
+            live = stored(moved)
+            if before:
+                drop(spark, f"{base}/round={before}/over=false")
+            before = n
+    drop(spark, f"{base}/round=0/over=false")
+    out = spark.read.schema(f"{_STATE}, over boolean, round int").parquet(base).where("over")
     return out.select("walk", F.concat(F.reverse("letters"), F.col("node")).alias("text"), (F.length("letters") + 1).cast("long").alias("n_kmers"))
 
 
@@ -370,22 +395,79 @@ def identity_right_aligned(a: Column, b: Column) -> Column:
     return F.when(n > 0, same * 100.0 / n)
 
 
-def flanks(blocks: DataFrame, solid_kmers: DataFrame, k: int, max_steps: int = MAX_STEPS) -> DataFrame:
-    """Both flanks of each block, walked from its anchors: the backward walk on the left, and that of the reverse
-    complement, turned back, on the right; with their identities to the block's own letters."""
-    k = odd(k)
-    solid_kmers = written(solid_kmers.select("kmer"), "solid")
-    at = written(anchors(blocks, solid_kmers, k), "anchors")
+#: A k-mer of a block and its place: on the left of the repeat where it begins, on the right -1 less where it begins behind the repeat.
+_ASKED = np.dtype([("block", np.int64), ("place", np.int32), ("code", np.uint64)])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The k-mers of blocks (block_id, right, text) by parts of the graph."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            rows = b.slice(i, ROWS)
+            owner, place, code = placed_codes(rows["text"], k)
+            asked = np.empty(len(code), _ASKED)
+            asked["block"], asked["code"] = rows["block_id"].to_numpy()[owner], code
+            asked["place"] = np.where(rows["right"].to_numpy(zero_copy_only=False)[owner], -1 - place, place)
+            part = bin_of(code >> np.uint64(2), k - 1, parts)
+            order = np.argsort(part, kind="stable")
+            asked, part = asked[order], part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            data = [asked[x:y].tobytes() for x, y in zip(first, [*first[1:], len(part)], strict=True)] if len(first) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(data, pa.binary())], names=["bin", "asked"])
+
+
+def _counted_part(key: tuple, t: pa.Table, k: int, least: int, most: int, parts: int) -> pa.Table:
+    """A part of the graph: its solid k-mers, how many are of no part before (that of the first letters), and of the blocks' k-mers that are
+    among them the first on the left and the last on the right of each block."""
+    code, n = counted_codes((x.as_py() for x in t["data"] if x.is_valid), k)
+    n = np.minimum(n, MAX_COUNT)
+    code, part = code[(n >= least) & (n <= most)], key[0].as_py()
+    own = int((bin_of(code >> np.uint64(2), k - 1, parts) == part).sum())
+    found = [np.zeros(0, _ASKED)]
+    for x in t["asked"]:
+        if x.is_valid:
+            asked = np.frombuffer(x.as_py(), _ASKED)
+            found.append(asked[Graph(code, k).known(asked["code"])])
+    hit = np.concatenate(found)
+    hit = hit[np.lexsort((hit["place"], hit["place"] < 0, hit["block"]))]
+    first = np.ones(len(hit), bool)
+    first[1:] = (hit["block"][1:] != hit["block"][:-1]) | ((hit["place"][1:] < 0) != (hit["place"][:-1] < 0))
+    cols = [(part, pa.int32()), (code.tobytes(), pa.binary()), (own, pa.int64()), (hit["block"][first].tolist(), pa.list_(pa.int64())), (hit["place"][first].tolist(), pa.list_(pa.int32()))]
+    return pa.table([pa.array([x], kind) for x, kind in cols], names=["part", "codes", "own", "block", "place"])
+
+
+def counted_graph(texts: DataFrame, own: DataFrame, k: int, least: int, most: int) -> tuple[DataFrame, int]:
+    """The graph of the k-mers (k up to 31) of texts.seq that are seen `least` to `most` times, in parts, and how many parts; and which k-mers of the blocks
+    are in it. One shuffle: the k-mers as stretches of letters, those at the edge of a part sent to both, and the k-mers of the blocks' sides. What is counted in a part is the part:
+    no k-mer is written, shuffled or joined as letters."""
+    parts = bins_of(texts, 20, 64)
+    sent = spread(texts.where(F.length("seq") >= k)).mapInArrow(lambda it: kmer_stretches(it, k, parts, both=True), "bin int, data binary")
+    left, right = _sides()
+    side = lambda r, c: own.select(F.col("block_id").cast("long").alias("block_id"), F.lit(r).alias("right"), c.alias("text"))
+    asked = spread(side(False, left).unionByName(side(True, right)).where((F.length("text") >= k) & F.col("block_id").isNotNull())).mapInArrow(lambda it: _asked(it, k, parts), "bin int, asked binary")
+    rows = sent.unionByName(asked, allowMissingColumns=True)
+    return rows.groupBy("bin").applyInArrow(lambda key, t: _counted_part(key, t, k, least, most, parts), "part int, codes binary, own long, block array<long>, place array<int>"), parts
+
+
+def found_in(graph: DataFrame) -> DataFrame:
+    """The places of the first solid k-mer on the left (i) and the last on the right (j) of each block, from a counted graph."""
+    left, right = F.when(F.col("place") >= 0, F.col("place")), F.when(F.col("place") < 0, -1 - F.col("place"))
+    return graph.select(F.inline(F.arrays_zip("block", "place"))).groupBy(F.col("block").alias("block_id")).agg(F.min(left).alias("i"), F.max(right).alias("j"))
+
+
+def _own_codes(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part, x in zip(b["part"].to_pylist(), b["codes"], strict=True):
+            code = np.frombuffer(x.as_py(), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(code[bin_of(code >> np.uint64(2), k - 1, parts) == part].view(np.int64))], names=["code"])
+
+
+def _starts(at: DataFrame) -> DataFrame:
     side = lambda s, c: at.select(F.concat_ws(":", F.lit(s), "block_id").alias("walk"), c.alias("node"))
-    starts = side("l", F.col("kmer_left")).unionByName(side("r", revcomp(F.col("kmer_right"))))
-    n_solid = solid_kmers.count()
-    if k <= 31 and n_solid <= MOST_SENT:
-        codes = solid_kmers.mapInArrow(lambda it: _codes(it, k), "code long").toArrow()["code"].to_numpy()  # at most MOST_SENT
-        texts = sent_walk_texts(starts, np.sort(codes.view(np.uint64)), k, max_steps)
-    elif k <= 31:
-        texts = parted_walk_texts(starts, solid_kmers, n_solid, k, max_steps)
-    else:
-        texts = walk_texts(walks(starts, steps(solid_kmers, k), k, max_steps))
+    return side("l", F.col("kmer_left")).unionByName(side("r", revcomp(F.col("kmer_right"))))
+
+
+def _flanked(at: DataFrame, texts: DataFrame) -> DataFrame:
     parts = texts.select(F.substring("walk", 1, 1).alias("s"), F.expr("cast(substr(walk, 3) as bigint)").alias("block_id"), "text", "n_kmers")
     left = parts.where("s = 'l'").select("block_id", F.col("text").alias("lflank"), F.col("n_kmers").alias("n_left"))
     right = parts.where("s = 'r'").select("block_id", revcomp(F.col("text")).alias("rflank"), F.col("n_kmers").alias("n_right"))
@@ -394,14 +476,32 @@ def flanks(blocks: DataFrame, solid_kmers: DataFrame, k: int, max_steps: int = M
     return out.withColumns({"pid_left": identity_right_aligned(F.col("lflank"), before), "pid_right": identity_right_aligned(F.reverse("rflank"), F.reverse(after))})
 
 
+def flanks(blocks: DataFrame, reads: DataFrame, k: int, min_count: int = 2, max_count: int = MAX_COUNT, max_steps: int = MAX_STEPS, include_blocks: bool = True) -> DataFrame:
+    """Both flanks of each block, walked from its anchors along the solid k-mers of reads (and of the blocks themselves): the backward walk on the left,
+    and that of the reverse complement, turned back, on the right; with their identities to the block's own letters."""
+    k, min_count = odd(k), max(2, min_count)
+    if k > 31:
+        solid_kmers = written(solid(count_kmers(reads, k, blocks if include_blocks else None, min_count), min_count, max_count).select("kmer"), "solid")
+        at = written(anchors(blocks, solid_kmers, k), "anchors")
+        return _flanked(at, walk_texts(walks(_starts(at), steps(solid_kmers, k), k, max_steps)))
+    own = _long_enough(blocks, k)
+    texts = reads.select("seq").unionByName(blocks.select("seq")) if include_blocks else reads.select("seq")
+    graph, parts = counted_graph(texts, own, k, min_count, max_count)
+    graph = written(graph, "graph")
+    at = written(_anchored(own, found_in(graph), k), "anchors")
+    if (graph.agg(F.sum("own")).first()[0] or 0) <= MOST_SENT:
+        codes = graph.select("part", "codes").mapInArrow(lambda it: _own_codes(it, k, parts), "code long").toArrow()["code"].to_numpy()  # at most MOST_SENT
+        return _flanked(at, sent_walk_texts(_starts(at), np.sort(codes.view(np.uint64)), k, max_steps))
+    return _flanked(at, walks_in_parts(_starts(at), graph.select("part", "codes"), parts, k, max_steps))
+
+
 def extend_str_reads(blocks: DataFrame, reads: DataFrame, k: int, min_count: int = 2, max_count: int = 255, max_steps: int = MAX_STEPS, include_blocks: bool = True, min_identity: float = 95.0) -> DataFrame:
     """Contigs: blocks with both flanks extended along the k-mers of reads (and of the blocks themselves).
 
     blocks: block_id (unique), motif, copies, start, end, seq. Gives name, motif, copies (as text), start, end,
     seq. Blocks with a side shorter than k, or with a flank that agrees with the block in less
     than min_identity percent, give none. N counts as A in k-mers only."""
-    counts = count_kmers(reads, k, blocks if include_blocks else None, max(2, min_count))
-    out = flanks(blocks, solid(counts, min_count, max_count), k, max_steps).where((F.col("pid_left") >= min_identity) & (F.col("pid_right") >= min_identity))
+    out = flanks(blocks, reads, k, min_count, max_count, max_steps, include_blocks).where((F.col("pid_left") >= min_identity) & (F.col("pid_right") >= min_identity))
     rows = out.join(blocks.select("block_id", "motif", "copies"), "block_id")
     shift = F.length("lflank") - F.col("idx_left")
     return rows.select(

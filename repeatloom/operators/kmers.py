@@ -35,9 +35,9 @@ def explode_kmers(texts: DataFrame, k: int) -> DataFrame:
     return s.select(F.explode(windows(F.col("s"), k)).alias("w")).where(~F.col("w").rlike("[^ACGT]")).select(canonical(F.col("w")).alias("kmer"))
 
 
-def _bins(texts: DataFrame) -> int:
-    """How many bins of minimizers: one for some 128 KB of texts by the plan's estimate. It is a matter of sizes only, never of results."""
-    return min(max(256, int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 17), 1 << 14)
+def bins_of(texts: DataFrame, bits: int = 17, least: int = 256) -> int:
+    """How many bins of minimizers: one for some 2^bits bytes (128 KB) of texts by the plan's estimate. It is a matter of sizes only, never of results."""
+    return min(max(least, int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> bits), 1 << 14)
 
 
 def count_kmers(reads: DataFrame, k: int, blocks: DataFrame | None = None, least: int = 1) -> DataFrame:
@@ -48,7 +48,7 @@ def count_kmers(reads: DataFrame, k: int, blocks: DataFrame | None = None, least
     if k > 31:
         counts = explode_kmers(texts, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
         return counts.where(F.col("cnt") >= least).select("kmer", F.least("cnt", F.lit(MAX_COUNT).cast("long")).alias("cnt"))
-    bins = _bins(texts)
+    bins = bins_of(texts)
     parts = spread(texts.where(F.length("seq") >= k)).mapInArrow(lambda it: kmer_stretches(it, k, bins), "bin int, data binary")
     return parts.groupBy("bin").applyInArrow(lambda t: counted_stretches(t, k, least, MAX_COUNT), "kmer string, cnt long")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -167,38 +167,83 @@ def bin_of(code: np.ndarray, k: int, bins: int) -> np.ndarray:
     return _bin(least, bins)
 
 
-def _stretches(texts: pa.Array, k: int, bins: int) -> Iterator[tuple[int, bytes, int]]:
-    """The k-mers of some texts as stretches of letters whose k-mers share their minimizer, put together by its bin: bin, data, k-mers. Equal texts are one
-    with their number. Data: how many stretches, of each its number of texts and of k-mers, and all letters, two bits each."""
-    counted = pc.value_counts(texts)
-    texts, number = counted.field("values"), counted.field("counts").to_numpy(zero_copy_only=False)
+def _lettered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the letters of texts without nulls, 4 for those that are none, and where each text begins and the last ends."""
     if not pc.all(pc.string_is_ascii(texts)).as_py():
         texts = pc.replace_substring_regex(texts, r"[^\x00-\x7f]", ".")
     texts = texts.cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    code = _BASE[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    return _BASE[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]], ends - ends[0]
+
+
+def _good(code: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which k letters in a row are letters of one text, and the text of each letter."""
     n = len(code) - k + 1
-    if n < 1:
-        return
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+    owner = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
     bad = np.concatenate([[0], np.cumsum(code == 4)])
-    good = (bad[k:] == bad[:n]) & (owner[k - 1 :] == owner[:n])
+    return (bad[k:] == bad[:n]) & (owner[k - 1 :] == owner[:n]), owner
+
+
+def placed_codes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k-mers of texts without nulls: the text, the place in it, and the code of each, the smaller of it and its reverse complement."""
+    code, ends = _lettered(texts) if len(texts) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    if len(code) < k:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    good, owner = _good(code, ends, k)
+    at = np.flatnonzero(good)
+    forth = windows_of(code & np.uint64(3), k)[at]
+    return owner[at], at - ends[owner[at]], np.minimum(forth, reversed_codes(forth, k))
+
+
+def _least_ranks(code: np.ndarray, k: int) -> np.ndarray:
+    """The rank of the minimizer of all k letters in a row."""
     m = min(MINIMIZER, k)
     least, size, left = _ranks(m)[windows_of(code & np.uint64(3), m)], 1, k - m + 1
     while 2 * size <= left:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
-    least = np.minimum(least[:n], least[left - size : left - size + n])
-    new = good.copy()
-    new[1:] &= ~good[:-1] | (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
-    run = np.cumsum(new) - 1
+    n = len(code) - k + 1
+    return np.minimum(least[:n], least[left - size : left - size + n])
+
+
+def _cut_runs(new: np.ndarray, good: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of good k-mers begin and how long they are, cut where they are longer than `most`."""
     first = np.flatnonzero(new)
     if not len(first):
-        return
-    new[good] |= (np.arange(n)[good] - first[run[good]]) % STRETCH == 0  # long ones are cut
+        return first, first
+    new[good] |= (np.arange(len(new))[good] - first[(np.cumsum(new) - 1)[good]]) % most == 0
     first = np.flatnonzero(new)
-    sizes = np.bincount((np.cumsum(new) - 1)[good], minlength=len(first))
-    at = _bin(least[first], bins)
+    return first, np.bincount((np.cumsum(new) - 1)[good], minlength=len(first))
+
+
+def _stretches(texts: pa.Array, k: int, bins: int, both: bool = False) -> Iterator[tuple[int, bytes, int]]:
+    """The k-mers of some texts as stretches of letters whose k-mers share their minimizer, put together by its bin: bin, data, k-mers. Equal texts are one
+    with their number. Data: how many stretches, of each its number of texts and of k-mers, and all letters, two bits each.
+    both: a k-mer is in the bin of its first k-1 letters and in that of its last, once in each; a stretch is a letter longer for that."""
+    counted = pc.value_counts(texts)
+    texts, number = counted.field("values"), counted.field("counts").to_numpy(zero_copy_only=False)
+    code, ends = _lettered(texts)
+    n = len(code) - k + 1
+    if n < 1:
+        return
+    good, owner = _good(code, ends, k)
+    new = good.copy()
+    if both:
+        part = _bin(_least_ranks(code, k - 1), bins)
+        new[1:] &= ~good[:-1] | (part[1:n] != part[: n - 1])
+        first, sizes = _cut_runs(new, good, STRETCH - 1)
+        at = part[first]
+        longer = (first > 0) & good[first - 1] & (part[first - 1] != at)  # the k-mer before ends with letters of this part
+        first, sizes = first - longer, sizes + longer
+        last = np.flatnonzero(good & ~np.append(good[1:], False) & (part[1:] != part[:-1]))  # so do last ones of texts
+        first, sizes, at = np.concatenate([first, last]), np.concatenate([sizes, np.ones(len(last), np.int64)]), np.concatenate([at, part[last + 1]])
+    else:
+        least = _least_ranks(code, k)
+        new[1:] &= ~good[:-1] | (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
+        first, sizes = _cut_runs(new, good, STRETCH)
+        at = _bin(least[first], bins)
+    if not len(first):
+        return
     order = np.argsort(at, kind="stable")
     at, first, sizes, times = at[order], first[order], sizes[order], number[owner[first[order]]]
     bounds = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -213,13 +258,13 @@ def _stretches(texts: pa.Array, k: int, bins: int) -> Iterator[tuple[int, bytes,
         yield int(at[a]), data, int(sizes[a:b].sum())
 
 
-def kmer_stretches(batches: Iterator[pa.RecordBatch], k: int, bins: int, letters: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def kmer_stretches(batches: Iterator[pa.RecordBatch], k: int, bins: int, letters: int = 8_000_000, both: bool = False) -> Iterator[pa.RecordBatch]:
     """The k-mers (k up to 31) of each few million letters by bins of their minimizers, as stretches of letters: a letter is sent some
-    three times for a k-mer, not k times, and equal k-mers of either strand meet in one bin."""
+    three times for a k-mer, not k times, and equal k-mers of either strand meet in one bin. both: in that of their first and in that of their last k-1 letters."""
     held, size = [], 0
 
     def told() -> pa.RecordBatch:
-        rows = list(_stretches(pa.chunked_array(held).combine_chunks(), k, bins))
+        rows = list(_stretches(pa.chunked_array(held).combine_chunks(), k, bins, both))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary()))], names=["bin", "data"])
 
     for b in batches:
@@ -258,16 +303,21 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return code[first], np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def counted_stretches(t: pa.Table, k: int, least: int, most: int) -> pa.Table:
-    """The different k-mers of one bin, and their counts up to `most`; those with at least `least`."""
-    parts, size = [], 0
-    for x in t["data"]:
-        parts.append(_windows_of_stretches(x.as_py(), k))
+def counted_codes(data: Iterable[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different k-mers of some stretches as sorted codes, and their counts."""
+    parts, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for x in data:
+        parts.append(_windows_of_stretches(x, k))
         size += len(parts[-1][0])
-        if size >= AT_ONCE and len(parts) > 1:
+        if size >= AT_ONCE:
             parts = [_summed(parts)]
             size = 0
-    code, n = _summed(parts)
+    return _summed(parts)
+
+
+def counted_stretches(t: pa.Table, k: int, least: int, most: int) -> pa.Table:
+    """The different k-mers of one bin, and their counts up to `most`; those with at least `least`."""
+    code, n = counted_codes((x.as_py() for x in t["data"]), k)
     keep = n >= least
     return pa.table({"kmer": spelled(code[keep], k), "cnt": pa.array(np.minimum(n[keep], most).astype(np.int64))})
 

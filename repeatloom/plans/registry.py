@@ -536,7 +536,7 @@ SQL["anchor_kmers"] = _ANCHORS + " select block_id, idx_left, kmer_left, idx_rig
 
 def _flanks(spark: SparkSession, d: str) -> DataFrame:
     r, b = _texts(spark, d)
-    return extend.flanks(b, kmers.solid(kmers.count_kmers(r, K, b, least=2)), K)
+    return extend.flanks(b, r, K)
 
 
 @query
