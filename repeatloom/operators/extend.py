@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -462,37 +463,42 @@ def _own_codes(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(code[bin_of(code >> np.uint64(2), k - 1, parts) == part].view(np.int64))], names=["code"])
 
 
-def _starts(at: DataFrame) -> DataFrame:
-    side = lambda s, c: at.select(F.concat_ws(":", F.lit(s), "block_id").alias("walk"), c.alias("node"))
-    return side("l", F.col("kmer_left")).unionByName(side("r", revcomp(F.col("kmer_right"))))
+def _starts(at: DataFrame, sides: str) -> DataFrame:
+    side = {"l": F.col("kmer_left"), "r": revcomp(F.col("kmer_right"))}
+    return reduce(DataFrame.unionByName, [at.select(F.concat_ws(":", F.lit(s), "block_id").alias("walk"), side[s].alias("node")) for s in sides])
 
 
-def _flanked(at: DataFrame, texts: DataFrame) -> DataFrame:
+def _flanked(at: DataFrame, texts: DataFrame, sides: str) -> DataFrame:
     parts = texts.select(F.substring("walk", 1, 1).alias("s"), F.expr("cast(substr(walk, 3) as bigint)").alias("block_id"), "text", "n_kmers")
-    left = parts.where("s = 'l'").select("block_id", F.col("text").alias("lflank"), F.col("n_kmers").alias("n_left"))
-    right = parts.where("s = 'r'").select("block_id", revcomp(F.col("text")).alias("rflank"), F.col("n_kmers").alias("n_right"))
-    out = at.join(left, "block_id").join(right, "block_id")
-    before, after = F.substr("seq", F.lit(1), F.col("idx_left")), F.expr("substr(seq, idx_right + 1)")
-    return out.withColumns({"pid_left": identity_right_aligned(F.col("lflank"), before), "pid_right": identity_right_aligned(F.reverse("rflank"), F.reverse(after))})
-
-
-def flanks(blocks: DataFrame, reads: DataFrame, k: int, min_count: int = 2, max_count: int = MAX_COUNT, max_steps: int = MAX_STEPS, include_blocks: bool = True) -> DataFrame:
-    """Both flanks of each block, walked from its anchors along the solid k-mers of reads (and of the blocks themselves): the backward walk on the left,
-    and that of the reverse complement, turned back, on the right; with their identities to the block's own letters."""
+    if "l" in sides:
+        at = at.join(parts.where("s = 'l'").select("block_id", F.col("text").alias("lflank"), F.col("n_kmers").alias("n_left")), "block_id")
+        at = at.withColumn("pid_left", identity_right_aligned(F.col("lflank"), F.substr("seq", F.lit(1), F.col("idx_left"))))
+    if "r" in sides:
+        at = at.join(parts.where("s = 'r'").select("block_id", revcomp(F.col("text")).alias("rflank"), F.col("n_kmers").alias("n_right")), "block_id")
+        at = at.withColumn("pid_right", identity_right_aligned(F.reverse("rflank"), F.reverse(F.expr("substr(seq, idx_right + 1)"))))
+    return at
+
+
+def flanks(blocks: DataFrame, reads: DataFrame, k: int, min_count: int = 2, max_count: int = MAX_COUNT, max_steps: int = MAX_STEPS, include_blocks: bool = True, sides: str = "lr") -> DataFrame:
+    """Flanks of each block, walked from its anchors along the solid k-mers of reads (and of the blocks themselves): the backward walk on the left (l in sides),
+    and that of the reverse complement, turned back, on the right (r); with their identities to the block's own letters."""
+    if sides not in ("l", "r", "lr"):
+        raise ValueError("sides are l, r or lr")
     k, min_count = odd(k), max(2, min_count)
     if k > 31:
         solid_kmers = written(solid(count_kmers(reads, k, blocks if include_blocks else None, min_count), min_count, max_count).select("kmer"), "solid")
         at = written(anchors(blocks, solid_kmers, k), "anchors")
-        return _flanked(at, walk_texts(walks(_starts(at), steps(solid_kmers, k), k, max_steps)))
+        return _flanked(at, walk_texts(walks(_starts(at, sides), steps(solid_kmers, k), k, max_steps)), sides)
     own = _long_enough(blocks, k)
     texts = reads.select("seq").unionByName(blocks.select("seq")) if include_blocks else reads.select("seq")
     graph, parts = counted_graph(texts, own, k, min_count, max_count)
     graph = written(graph, "graph")
     at = written(_anchored(own, found_in(graph), k), "anchors")
+    starts = _starts(at, sides)
     if (graph.agg(F.sum("own")).first()[0] or 0) <= MOST_SENT:
         codes = graph.select("part", "codes").mapInArrow(lambda it: _own_codes(it, k, parts), "code long").toArrow()["code"].to_numpy()  # at most MOST_SENT
-        return _flanked(at, sent_walk_texts(_starts(at), np.sort(codes.view(np.uint64)), k, max_steps))
-    return _flanked(at, walks_in_parts(_starts(at), graph.select("part", "codes"), parts, k, max_steps))
+        return _flanked(at, sent_walk_texts(starts, np.sort(codes.view(np.uint64)), k, max_steps), sides)
+    return _flanked(at, walks_in_parts(starts, graph.select("part", "codes"), parts, k, max_steps), sides)
 
 
 def extend_str_reads(blocks: DataFrame, reads: DataFrame, k: int, min_count: int = 2, max_count: int = 255, max_steps: int = MAX_STEPS, include_blocks: bool = True, min_identity: float = 95.0) -> DataFrame:

@@ -534,15 +534,14 @@ ak as (select *, s[idx_left - {K} + 1 : idx_left] kmer_left, s[idx_right + 1 : i
 SQL["anchor_kmers"] = _ANCHORS + " select block_id, idx_left, kmer_left, idx_right, kmer_right from ak"
 
 
-def _flanks(spark: SparkSession, d: str) -> DataFrame:
+def _flanks(spark: SparkSession, d: str, sides: str = "lr") -> DataFrame:
     r, b = _texts(spark, d)
-    return extend.flanks(b, r, K)
+    return extend.flanks(b, r, K, sides=sides)
 
 
 @query
 def walk_backward(spark: SparkSession, d: str) -> DataFrame:
-    return _flanks(spark, d).select("block_id", "lflank", "n_left")
-
+    return _flanks(spark, d, "l").select("block_id", "lflank", "n_left")
 
 @query
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:

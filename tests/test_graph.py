@@ -409,3 +409,31 @@ def test_walks_leave_only_what_is_over(spark, monkeypatch):
     files = [p for x in shared._WRITTEN[first:] if "/graph-" not in x for p in Path(x.removeprefix("file://")).rglob("*.parquet")]
     assert len(got) == 42 and len({p.parents[1] for p in files}) > 2
     assert {p.parent.name for p in files} == {"over=true"}
+
+
+def _walked_only(spark, monkeypatch, tmp_path, name, side):
+    """Runs a walk query over small tables: (its rows, the walks it took)."""
+    from repeatloom.plans import registry
+
+    g = [genome(80 + i, 160) for i in range(4)]
+    reads = [(i, 0, i, f"r{i}", s, "I" * len(s), 33) for i, s in enumerate(x[j : j + 100] for x in g for j in range(0, 61, 5))]
+    blocks = [(i, 70, 80, x[10:150]) for i, x in enumerate(g)]
+    spark.createDataFrame(reads, "read_id bigint, file_idx int, ord bigint, name string, seq string, qual string, qual_offset int").write.parquet(f"{tmp_path}/fastq_reads.parquet")
+    spark.createDataFrame(blocks, "block_id bigint, start int, end int, seq string").write.parquet(f"{tmp_path}/blocks.parquet")
+    both = {r["block_id"]: r for r in registry._flanks(spark, str(tmp_path)).collect()}
+    taken, real = [], extend.sent_walk_texts
+
+    def noted(starts, *args):
+        taken.extend(r["walk"] for r in starts.collect())
+        return real(starts, *args)
+
+    monkeypatch.setattr(extend, "sent_walk_texts", noted)
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    flank, n = ("lflank", "n_left") if side == "l" else ("rflank", "n_right")
+    assert len(got) == len(both) == 4 and all((r[flank], r[n]) == (both[r["block_id"]][flank], both[r["block_id"]][n]) for r in got) and max(r[n] for r in got) > 1
+    assert sorted(taken) == [f"{side}:{i}" for i in range(4)]
+
+
+def test_backward_walks_alone(spark, monkeypatch, tmp_path):
+    """walk_backward took the forward walks too, kept them on disk and joined them for nothing."""
+    _walked_only(spark, monkeypatch, tmp_path, "walk_backward", "l")
