@@ -545,7 +545,7 @@ def walk_backward(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _flanks(spark, d).select("block_id", "rflank", "n_right")
+    return _flanks(spark, d, "r").select("block_id", "rflank", "n_right")
 
 
 @query

@@ -437,3 +437,8 @@ def _walked_only(spark, monkeypatch, tmp_path, name, side):
 def test_backward_walks_alone(spark, monkeypatch, tmp_path):
     """walk_backward took the forward walks too, kept them on disk and joined them for nothing."""
     _walked_only(spark, monkeypatch, tmp_path, "walk_backward", "l")
+
+
+def test_forward_walks_alone(spark, monkeypatch, tmp_path):
+    """walk_forward took the backward walks too, kept them on disk and joined them for nothing."""
+    _walked_only(spark, monkeypatch, tmp_path, "walk_forward", "r")
